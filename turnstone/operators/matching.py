@@ -70,5 +70,5 @@ def counter_gap(turns: DataFrame, counters: DataFrame, tolerance: float = 0.01)
     """Sessions whose last cumulative counter is further than the tolerance from the sum of their turns with usage."""
     last = counters.groupBy("session_key").agg(F.max_by("total_tokens", "line").alias("counted"))
     summed = turns.filter("context_total <> 0").groupBy("session_key").agg(F.sum(F.col("context_total") + F.col("output")).alias("summed"))
-    both = last.join(summed, "session_key", "left").fillna(0, ["summed"]).filter("counted > 0")
-    return both.withColumn("gap", F.abs(F.col("summed") - F.col("counted")) / F.col("counted")).filter(F.col("gap") > tolerance)
+    both = last.join(summed, "session_key", "left").fillna(0, ["summed"])
+    return both.withColumn("gap", F.abs(F.col("summed") - F.col("counted")) / F.greatest(F.abs("counted"), F.lit(1))).filter(F.col("gap") > tolerance)

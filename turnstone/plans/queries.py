@@ -146,9 +146,9 @@ def d7_drop_family_replays(spark, d):
     return dedup.drop_family_replays(m.family_turns(spark, d)).groupBy("family_id", "model").agg(F.count(F.lit(1)).alias("turns"), F.sum("context_total").alias("context_total"))
 
 
-@_query(f"{_PRICED} SELECT session_key, turn_index, model, " + ", ".join(f"round({c}, 9) AS {c}" for c in (*pricing.PARTS, "cost")) + ", priced FROM priced")
+@_query(f"{_PRICED} SELECT session_key, turn_index, model, " + ", ".join(f"round({c}, 13) AS {c}" for c in (*pricing.PARTS, "cost")) + ", priced FROM priced")
 def c1_price_turns(spark, d):
-    return _rounded(_priced_turns(spark, d).select("session_key", "turn_index", "model", *pricing.PARTS, "cost", "priced"), 9)
+    return _rounded(_priced_turns(spark, d).select("session_key", "turn_index", "model", *pricing.PARTS, "cost", "priced"), 13)
 
 
 @_query(f"""{_PRICED} SELECT mode, model, round(sum(CASE mode WHEN 'display' THEN coalesce(logged_cost, 0) WHEN 'auto' THEN cost END), 6) AS cost, count(*) FILTER (CASE mode WHEN 'display' THEN logged_cost IS NOT NULL ELSE priced END) AS priced_turns
