@@ -72,6 +72,22 @@ def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
+#: Bytes of an Arrow batch on the way to Python; rows hold whole texts, so batches are bounded by size.
+BATCH_BYTES = 4 << 20
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Bound Arrow batches by BATCH_BYTES unless the session's own bound is lower."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = spark.conf.get(name, None) or "-1"
+    try:
+        lower = 0 < int(now.rstrip("b")) <= BATCH_BYTES
+    except ValueError:
+        lower = True  # set by hand, with a unit
+    if not lower:
+        spark.conf.set(name, str(BATCH_BYTES))
+
+
 def text_key(text: str = "text"):
     """Tells apart rows that share a doc_id but not the text; -1 for a null text."""
     return F.when(F.col(text).isNull(), F.lit(-1).cast("long")).otherwise(F.xxhash64(text))
@@ -113,8 +129,8 @@ def keep_chosen(docs: DataFrame, chosen: DataFrame, text: str = "text") -> DataF
     if partly.isEmpty():
         return stay.select(columns)
     part = small(partly)
-    stay2 = stay.join(part.select(F.col("doc_id").alias("__d"), F.col("key").alias("__k"), "kept"), F.col("doc_id").eqNullSafe(F.col("__d")) & (F.col(key) == F.col("__k")), "left")
-    whole = stay2.filter("kept is null").select(columns)
-    some = stay2.filter("kept is not null")
+    stay2 = stay.join(part.select(F.col("doc_id").alias("__d"), F.col("key").alias("__k"), F.col("kept").alias("__kept")), F.col("doc_id").eqNullSafe(F.col("__d")) & (F.col(key) == F.col("__k")), "left")
+    whole = stay2.filter("__kept is null").select(columns)
+    some = stay2.filter("__kept is not null")
     nth = F.row_number().over(Window.partitionBy("doc_id", key).orderBy("doc_id"))
-    return whole.unionByName(some.withColumn("__nth", nth).filter("__nth <= kept").select(columns))
+    return whole.unionByName(some.withColumn("__nth", nth).filter("__nth <= __kept").select(columns))

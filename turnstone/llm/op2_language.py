@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from turnstone.llm.common import cut, small, table
+from turnstone.llm.common import cut, small, small_batches, table
 from turnstone.llm.textbatch import slices
 
 LANGUAGES = ("de", "en", "es", "fr")
@@ -98,6 +98,7 @@ def identify(rows: DataFrame, languages: tuple[str, ...] = LANGUAGES, bits: int
     """
     blank = {c: F.coalesce(F.col(c), F.lit("")) for c in ("declared", "suffix", "domain", "host")}
     rows = rows.withColumns(blank)
+    small_batches(rows.sparkSession)
     model = text_model(rows, languages, bits)
     kinds, spark = len(languages) + 1, rows.sparkSession
     held = spark.sparkContext.broadcast(model)

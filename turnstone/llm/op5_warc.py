@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from turnstone.llm import common
-from turnstone.llm.common import cut, release, shared_path, table
+from turnstone.llm.common import cut, release, shared_path, small_batches, table
 
 #: Compressed bytes at which a file is rolled; the date that headers carry, as pages have none.
 TARGET, DATE = 64 << 20, "2024-01-01T00:00:00Z"
@@ -159,6 +159,7 @@ def write_warc(pages: DataFrame, folder: str, target: int = TARGET, date: str =
     the files with records, bytes and SHA-256.
     """
     spark = pages.sparkSession
+    small_batches(spark)
     fs, root = pafs.FileSystem.from_uri(folder)
     fs.create_dir(root, recursive=True)
     cuts = borders(pages, target, date)

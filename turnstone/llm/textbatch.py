@@ -13,7 +13,7 @@ _BASE, _INVERSE = 0x9E3779B97F4A7C15 | 1, pow(0x9E3779B97F4A7C15 | 1, -1, 1 << 6
 _powers = [np.ones(1, U64), np.ones(1, U64)]
 
 #: Bytes of text that are looked at together; a longer document comes alone, whole.
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 19
 
 SPACE, WORD = 0, 1
 #: Letters, digits and all bytes of non-ASCII characters make words, white space parts; a run of one other byte is a token.
