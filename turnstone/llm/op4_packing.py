@@ -21,7 +21,8 @@ CAPACITY = 8192
 def patterns(histogram: dict[int, int], capacity: int) -> list[tuple[tuple[int, ...], int]]:
     """[(lengths, packs)]: packs that hold exactly these lengths. Work and memory follow the number of distinct lengths.
 
-    Lengths descend; the pieces of a length go to the pack with the most room, ties by pattern, else open new packs.
+    Lengths descend; the pieces of a length go to the pack with the most room, ties by pattern. Where none has room, new
+    packs open, each filled with pieces of this length as far as they go, for it stays the emptiest meanwhile.
     """
     open_packs: dict[tuple[int, ...], int] = defaultdict(int)
     heap: list[tuple[int, tuple[int, ...]]] = []  # emptiest first
@@ -37,13 +38,15 @@ def patterns(histogram: dict[int, int], capacity: int) -> list[tuple[tuple[int,
                 if rest:
                     open_packs[pattern] = rest
                     heapq.heappush(heap, (used, pattern))
-                longer = pattern + (length,)
+                longer, placed = pattern + (length,), packs
             else:
-                packs, used, longer = left, 0, (length,)
+                most = min(left, capacity // length)
+                packs, longer = left // most, (length,) * most
+                placed = packs * most
             if longer not in open_packs:
-                heapq.heappush(heap, (used + length, longer))
+                heapq.heappush(heap, (sum(longer), longer))
             open_packs[longer] += packs
-            left -= packs
+            left -= placed
     return sorted((p, n) for p, n in open_packs.items() if n)
 
 
