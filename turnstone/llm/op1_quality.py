@@ -13,13 +13,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from turnstone.llm.common import cut, release, small, table
-from turnstone.llm.textbatch import U64, mix, slices, span_hashes, tokens
+from turnstone.llm.common import cut, release, small, small_batches, table
+from turnstone.llm.textbatch import CLASSES, U64, WORD, mix, slices, span_hashes, tokens
 
-#: Hashed dimensions of n-grams up to NGRAM tokens; labelled rows of the fit, a bounded sample by hash of doc_id.
-BITS, NGRAM, FIT_ROWS = 18, 2, 6000
+#: Hashed dimensions of the n-grams; labelled rows of the fit, a bounded sample by hash of doc_id.
+BITS, FIT_ROWS = 18, 3000
+#: Tokens of an n-gram of tokens, and of one of their shapes.
+NGRAM, SHAPES = 2, 4
 #: Smoothing of the class counts, penalty of the hinge loss, passes over the sample.
-ALPHA, COST, PASSES = 1.0, 0.1, 12
+ALPHA, COST, PASSES = 1.0, 1.0, 12
 #: Share of the labelled good documents that the threshold may reject.
 LOST = 0.002
 
@@ -33,19 +35,38 @@ class Model(NamedTuple):
     bits: int
 
 
+def _shapes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, words: np.ndarray) -> np.ndarray:
+    """A token's shape: a word is in lower or upper case, a capital, capitalised or has digits; signs are their own."""
+    def inside(held):
+        sums = np.concatenate([[0], np.cumsum(held)])
+        return sums[ends] - sums[starts]
+
+    upper, digit = inside((data >= 65) & (data <= 90)), inside((data >= 48) & (data <= 57))
+    lower = (ends - starts) - upper - digit
+    kind = np.select([digit > 0, (upper > 1) & (lower == 0), (upper > 0) & (lower > 0), upper == 1], [5, 4, 3, 2], 1).astype(U64)
+    return np.where(CLASSES[data[starts]] == WORD, mix(kind), words)
+
+
 def indicators(data: np.ndarray, at: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
-    """(feature, document): the distinct hashed n-grams of each document, documents in order."""
+    """(feature, document): the distinct hashed n-grams of tokens and of their shapes of each document, documents in order."""
     starts, ends, doc = tokens(data, at)
-    one = span_hashes(data, starts, ends)
-    grams, owner = [one], [doc]
-    if len(one) > 1:
-        same = doc[1:] == doc[:-1]
-        grams.append(mix(one[:-1] * U64(0x9FB21C651E98DF25) + one[1:])[same])
-        owner.append(doc[:-1][same])
+    if not len(starts):
+        return np.empty(0, np.int64), np.empty(0, np.int64)
+    words = span_hashes(data, starts, ends)
+    grams, owner = [], []
+    for salt, base, longest in ((0, words, NGRAM), (100, _shapes(data, starts, ends, words), SHAPES)):
+        for n in range(1, longest + 1):
+            count = len(base) - n + 1
+            if count > 0:
+                h = np.full(count, salt + n, U64)
+                for k in range(n):
+                    h = h * U64(0x9FB21C651E98DF25) + base[k : count + k]
+                same = doc[n - 1 :] == doc[:count]
+                grams.append(mix(h)[same])
+                owner.append(doc[:count][same])
     both = (np.concatenate(owner).astype(np.int64) << bits) | (np.concatenate(grams) >> U64(64 - bits)).astype(np.int64)
     both.sort()
-    if len(both):
-        both = both[np.concatenate([[True], both[1:] != both[:-1]])]
+    both = both[np.concatenate([[True], both[1:] != both[:-1]])]
     return both & ((1 << bits) - 1), both >> bits
 
 
@@ -127,6 +148,7 @@ def train(docs: DataFrame, labels: DataFrame, bits: int = BITS, fit_rows: int =
     The driver gets 2^bits counts, fit_rows lists of features and a histogram of scores; none grows with the data.
     With only one class, or no labels, the model scores everything 0 and keeps it.
     """
+    small_batches(docs.sparkSession)
     rows = cut(_labelled(docs, labels))
     counted = rows.select("quality", "text").mapInArrow(lambda it: _counts(it, bits), "feature long, good long, bad long")
     found = counted.groupBy("feature").agg(F.sum("good").alias("good"), F.sum("bad").alias("bad")).toPandas()
@@ -162,7 +184,7 @@ def classify(docs: DataFrame, labels: DataFrame, **parameters) -> DataFrame:
     columns of either table are ignored; no rows give no rows. Whole texts count, of any length.
     """
     model = train(docs, labels, **parameters)
-    scored = docs.select("doc_id", "text").mapInArrow(lambda it: _scores(it, model, ["doc_id"]), "doc_id long, score double")
+    scored = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(lambda it: _scores(it, model, ["doc_id"]), "doc_id long, score double")
     return scored.withColumn("keep", F.coalesce(F.col("score") >= model.threshold, F.lit(False)))
 
 
