@@ -13,20 +13,23 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from turnstone.llm.common import cut, release, small, table
+from turnstone.llm.common import cut, release, small, small_batches, table
 from turnstone.llm.textbatch import CLASSES, WORD, reduce_by_doc, slices, span_hashes, tokens
 
 #: Trees, rows of a tree, labelled rows that trees are drawn from (by hash of doc_id), share of good documents to lose.
-TREES, TREE_ROWS, FIT_ROWS, LOST, SEED = 128, 256, 8192, 0.002, 17
+TREES, TREE_ROWS, FIT_ROWS, LOST, SEED = 128, 256, 8192, 0.01, 17
 
+#: Length itself is no rule: it is the labels' business whether short texts are bad.
 RULES = (
-    "log_words", "word_length", "upper_share", "digit_share", "sign_share", "distinct_words", "top_word_share",
-    "line_copies", "line_words", "open_lines", "sign_tokens", "long_words", "non_ascii", "pair_copies",
+    "word_length", "upper_share", "digit_share", "sign_share", "distinct_words", "top_word_share", "line_copies",
+    "open_lines", "sign_tokens", "long_words", "non_ascii", "pair_copies",
 )
+#: What every text is taken to have besides its own, unremarkable, so that a few words aren't an extreme.
+BYTES, WORDS, LINES = 60, 12, 1
 
 
-def _share(top: np.ndarray, below: np.ndarray) -> np.ndarray:
-    return top / np.maximum(below, 1)
+def _share(top: np.ndarray, below: np.ndarray, more: float) -> np.ndarray:
+    return top / (below + more)
 
 
 def _distinct(values: np.ndarray, doc: np.ndarray, docs: int) -> tuple[np.ndarray, np.ndarray]:
@@ -72,14 +75,14 @@ def statistics(data: np.ndarray, at: np.ndarray) -> np.ndarray:
     line_distinct, _ = _distinct(span_hashes(data, ls, le), ld, docs)
     open_line = np.bincount(ld[~np.isin(data[le - 1], [33, 46, 58, 59, 63, 34, 41])] if len(ls) else ld, minlength=docs).astype(float)
     letters = np.bincount(wd, (we - ws).astype(float), minlength=docs)
+    pair_count = np.bincount(pair_docs, minlength=docs)
     return np.stack(
         [
-            np.log1p(words), _share(letters, words), _share(upper, upper + lower), _share(digit, size), _share(sign, size),
+            (letters + 5 * WORDS) / (words + WORDS), _share(upper, upper + lower, BYTES), _share(digit, size, BYTES), _share(sign, size, BYTES),
             # the expected share of distinct words falls with length: compare on a log scale
-            np.where(words > 1, np.log1p(distinct) / np.log1p(np.maximum(words, 1)), 1.0), _share(top, words),
-            1 - _share(line_distinct, lines) * (lines > 0), np.log1p(_share(words, lines)), _share(open_line, lines),
-            _share(np.bincount(doc[~word], minlength=docs).astype(float), words), _share(np.bincount(wd[(we - ws) > 30], minlength=docs).astype(float), words),
-            _share(per_doc(data >= 128), size), 1 - _share(pair_distinct, np.bincount(pair_docs, minlength=docs)) * (np.bincount(pair_docs, minlength=docs) > 0),
+            np.log1p(distinct + WORDS) / np.log1p(words + WORDS), _share(top, words, WORDS), _share(lines - line_distinct, lines, LINES),
+            _share(open_line, lines, LINES), _share(np.bincount(doc[~word], minlength=docs), words, WORDS), _share(np.bincount(wd[(we - ws) > 30], minlength=docs), words, WORDS),
+            _share(per_doc(data >= 128), size, BYTES), _share(pair_count - pair_distinct, pair_count, WORDS),
         ],
         1,
     )
@@ -170,7 +173,8 @@ def anomalies(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, lost
     isn't kept; an empty one has all statistics 0. Null doc_ids are scored; repeated rows score the same; null labels
     count for nothing. Other columns are ignored; no rows give no rows.
     """
-    measured = cut(docs.select("doc_id", "text").mapInArrow(_measure, "doc_id long, rules array<double>, there boolean"))
+    small_batches(docs.sparkSession)
+    measured = cut(docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(_measure, "doc_id long, rules array<double>, there boolean"))
     known = labels.filter("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.max("quality").cast("int").alias("quality"))
     labelled = measured.filter("there").join(small(known), "doc_id")
     order = [F.xxhash64("doc_id", F.lit(SEED)), "doc_id"]
