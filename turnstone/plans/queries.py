@@ -301,7 +301,7 @@ def j18_pair_configs(spark, d):
 
 
 @_query(f"""WITH {m.TRIALS}, c AS (SELECT task_name, config_name, {_STATS} FROM trials GROUP BY ALL)
-    SELECT a.task_name, round((b.success_rate - a.success_rate) * 100, 3) AS success_pp, b.median_wall_ms - a.median_wall_ms AS median_wall_ms_delta, round((b.median_wall_ms - a.median_wall_ms) / a.median_wall_ms * 100, 3) AS median_wall_ms_pct, b.compactions - a.compactions AS compactions_delta
+    SELECT a.task_name, round((b.successes / b.trials - a.successes / a.trials) * 100, 3) AS success_pp, b.median_wall_ms - a.median_wall_ms AS median_wall_ms_delta, round((b.median_wall_ms - a.median_wall_ms) / a.median_wall_ms * 100, 3) AS median_wall_ms_pct, b.compactions - a.compactions AS compactions_delta
     FROM c a JOIN c b ON a.task_name = b.task_name AND a.config_name = '1-URGENT' AND b.config_name = '2-HIGH'""")
 def c19_trial_deltas(spark, d):
     out = compare.deltas(compare.paired(compare.cells(m.trials(spark, d)), "1-URGENT", "2-HIGH"))
