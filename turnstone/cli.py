@@ -128,7 +128,7 @@ def _run(args, spark) -> int:
             show(rows, lambda: text.table(["category", "tool", "~tokens"], [[r["category"], r["tool_name"] or "", str(r["tokens_est"])] for r in rows.collect()], {2}))
         else:
             report = engine.context(chosen(args.session))
-            show(report, lambda: text.context(report))
+            show({k: report[k] for k in ("turns", "categories", "compactions", "warnings")}, lambda: text.context(report))
     elif args.command == "diff" or (args.command == "report" and args.diff):
         if getattr(args, "last", None):
             refs = engine.last(args.last, args.cwd, args.harness, args.all_projects)
