@@ -9,22 +9,22 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from turnstone.llm.common import cut, keep_chosen, one_per_group, release, small, small_batches, table, text_key
-from turnstone.llm.textbatch import U64, flat, mix, reduce_by_doc, shingles, slices
+from turnstone.llm.textbatch import SLICE_BYTES, U64, flat, mix, reduce_by_doc, shingles, slices
 
 #: Words of a shingle, least Jaccard similarity of near copies, bands of a collection, minhashes of a band.
 WIDTH, THRESHOLD, SIDE, HALF, SEED = 3, 0.5, 7, 2, 0x5EED
 
 
 def _sketch(batches, width: int, side: int, half: int):
-    """(doc_id, key, text) to (doc_id, key, fp, size, keys): fp names the shingle set, 16 bytes, of so many shingles; without
-    words fp and keys are null."""
+    """(doc_id, key, text) to (doc_id, key, fp, keys): fp names the shingle set, 16 bytes; keys are null without words."""
     draws = np.random.default_rng(SEED).integers(1, 1 << 63, (2, 2 * side * half), dtype=np.int64).astype(U64)
     scale, shift = draws[0] * U64(2) + U64(1), draws[1]
-    schema = pa.schema([("doc_id", pa.int64()), ("key", pa.int64()), ("fp", pa.binary()), ("size", pa.int32()), ("keys", pa.list_(pa.int64()))])
+    schema = pa.schema([("doc_id", pa.int64()), ("key", pa.int64()), ("fp", pa.binary()), ("keys", pa.list_(pa.int64()))])
     for rows, data, at in slices(batches, lower=True):
         s, doc = shingles(data, at, width)
         n = rows.num_rows
@@ -51,7 +51,6 @@ def _sketch(batches, width: int, side: int, half: int):
             [
                 rows.column("doc_id"), rows.column("key"),
                 pa.array([raw[16 * r : 16 * r + 16] if some[r] else None for r in range(n)], pa.binary()),
-                pa.array(np.bincount(doc, minlength=n), pa.int32()),
                 pa.array([keys[r].astype(np.int64) if some[r] else None for r in range(n)], pa.list_(pa.int64())),
             ],
             schema=schema,
@@ -61,20 +60,34 @@ def _sketch(batches, width: int, side: int, half: int):
 def _jaccard(batches, width: int):
     """(a, b, a_text, b_text) to (a, b, jaccard), by the whole texts' sets of shingles."""
     schema = pa.schema([("a", pa.binary()), ("b", pa.binary()), ("jaccard", pa.float64())])
-    import pyarrow.compute as pc
+    for rows in _pieces(batches):
+        n = rows.num_rows
+        sides = []
+        for side in ("a_text", "b_text"):
+            s, doc = shingles(*flat(pc.utf8_lower(rows.column(side))), width)
+            order = np.lexsort((s, doc))
+            s, doc = s[order], doc[order]
+            once = np.concatenate([[True], (s[1:] != s[:-1]) | (doc[1:] != doc[:-1])]) if len(s) else np.empty(0, bool)
+            sides.append((s[once], doc[once]))
+        # what both sets of a row hold lies twice in the sorted whole
+        s, doc = (np.concatenate(x) for x in zip(*sides))
+        order = np.lexsort((s, doc))
+        s, doc = s[order], doc[order]
+        twice = (s[1:] == s[:-1]) & (doc[1:] == doc[:-1])
+        both = np.bincount(doc[1:][twice], minlength=n)
+        total = np.bincount(doc, minlength=n) - both
+        yield pa.record_batch([rows.column("a"), rows.column("b"), pa.array(both / np.maximum(total, 1))], schema=schema)
+
 
+def _pieces(batches):
+    """Batches cut so that both texts of their rows have at most SLICE_BYTES together, or one row."""
     for batch in batches:
-        for lo in range(0, batch.num_rows, 64):
-            rows = batch.slice(lo, 64)
-            n = rows.num_rows
-            sides = []
-            for side in ("a_text", "b_text"):
-                s, doc = shingles(*flat(pc.utf8_lower(rows.column(side))), width)
-                ends = np.cumsum(np.bincount(doc, minlength=n))
-                sides.append([np.unique(s[e - c : e]) for e, c in zip(ends, np.diff(ends, prepend=0))])
-            both = np.array([len(np.intersect1d(x, y, assume_unique=True)) for x, y in zip(*sides)], float)
-            total = np.array([len(x) + len(y) for x, y in zip(*sides)], float) - both
-            yield pa.record_batch([rows.column("a"), rows.column("b"), pa.array(both / np.maximum(total, 1))], schema=schema)
+        sizes = sum(pc.fill_null(pc.binary_length(batch.column(c)), 0).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("a_text", "b_text"))
+        ends, lo = np.cumsum(sizes), 0
+        while lo < batch.num_rows:
+            hi = max(lo + 1, int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + SLICE_BYTES, "right")))
+            yield batch.slice(lo, hi - lo)
+            lo = hi
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -121,28 +134,26 @@ def near_groups(docs: DataFrame, width: int = WIDTH, threshold: float = THRESHOL
 
     Groups are the connected components of all candidate pairs whose Jaccard similarity reaches the threshold. Documents
     with one set of shingles are one node from the start. Candidates are verified in two rounds: every member of a bucket
-    with its smallest node, then all pairs of a bucket that are still in different components (of sizes that can match), so no pair is left out
+    with its smallest node, then all pairs of a bucket that are still in different components, so no pair is left out
     that could change a component, and a bucket of thousands of copies costs its length, not its square.
     """
     small_batches(docs.sparkSession)
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text")).withColumn("key", text_key())
-    sketch = cut(base.mapInArrow(lambda it: _sketch(it, width, side, half), "doc_id long, key long, fp binary, size int, keys array<long>"))
+    sketch = cut(base.mapInArrow(lambda it: _sketch(it, width, side, half), "doc_id long, key long, fp binary, keys array<long>"))
     held = sketch.filter("fp is not null and doc_id is not null")
-    nodes = cut(held.groupBy("fp").agg(F.min(F.struct("doc_id", "key", "size", "keys")).alias("x")).select("fp", "x.doc_id", "x.key", "x.size", "x.keys"))
+    nodes = cut(held.groupBy("fp").agg(F.min(F.struct("doc_id", "key", "keys")).alias("x")).select("fp", "x.doc_id", "x.key", "x.keys"))
     bucket = Window.partitionBy("table_key")
-    # sets of sizes m <= n share at most m of n, so pairs with m < threshold * n can't match
-    fits = lambda m, n: F.least(m, n) >= F.lit(threshold) * F.greatest(m, n)
-    full = nodes.select("fp", "size", F.explode("keys").alias("table_key")).withColumn("least", F.min(F.struct("fp", "size")).over(bucket)).withColumn("n", F.count(F.lit(1)).over(bucket)).filter("n > 1")
+    full = nodes.select("fp", F.explode("keys").alias("table_key")).withColumn("least", F.min("fp").over(bucket)).withColumn("n", F.count(F.lit(1)).over(bucket)).filter("n > 1")
     buckets = cut(full)
     texts = base.select("doc_id", "key", "text")
-    stars = cut(buckets.filter((F.col("fp") != F.col("least.fp")) & fits(F.col("size"), F.col("least.size"))).select(F.col("least.fp").alias("a"), F.col("fp").alias("b")).distinct())
+    stars = cut(buckets.filter("fp != least").select(F.col("least").alias("a"), F.col("fp").alias("b")).distinct())
     first = _verified(stars, nodes, texts, width, threshold)
     roots = components(first)
     # pairs of one bucket that are still apart
-    apart = buckets.filter("n > 2").select("table_key", "fp", "size").join(roots, F.col("fp") == F.col("node"), "left").select("table_key", "fp", "size", F.coalesce("root", "fp").alias("root"))
-    several = apart.withColumn("lo", F.min("root").over(bucket)).withColumn("hi", F.max("root").over(bucket)).filter("lo < hi").select("table_key", "fp", "size", "root")
-    other = several.select("table_key", F.col("fp").alias("b"), F.col("size").alias("b_size"), F.col("root").alias("b_root"))
-    more = several.join(other, "table_key").filter((F.col("root") < F.col("b_root")) & fits(F.col("size"), F.col("b_size"))).select(F.least("fp", "b").alias("a"), F.greatest("fp", "b").alias("b")).distinct()
+    apart = buckets.filter("n > 2").select("table_key", "fp").join(roots, F.col("fp") == F.col("node"), "left").select("table_key", "fp", F.coalesce("root", "fp").alias("root"))
+    several = apart.withColumn("lo", F.min("root").over(bucket)).withColumn("hi", F.max("root").over(bucket)).filter("lo < hi").select("table_key", "fp", "root")
+    other = several.select("table_key", F.col("fp").alias("b"), F.col("root").alias("b_root"))
+    more = several.join(other, "table_key").filter("root < b_root").select(F.least("fp", "b").alias("a"), F.greatest("fp", "b").alias("b")).distinct()
     second = _verified(cut(more.join(stars, ["a", "b"], "left_anti")), nodes, texts, width, threshold)
     groups = components(first.select("a", "b").unionByName(second.select("a", "b")))
     release(buckets, stars)
