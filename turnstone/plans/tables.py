@@ -15,7 +15,8 @@ def shared_dir(spark: SparkSession) -> str:
     """spark.checkpoint.dir of the session; only where it is unset, as in tests, a temporary folder."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
-        return named.rstrip("/")
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(named)
+        return path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(path).toString().rstrip("/")
     context = spark.sparkContext._jsc.sc()
     if not context.getCheckpointDir().isDefined():
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="turnstone-"))
