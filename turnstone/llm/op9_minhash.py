@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from turnstone.llm.common import cut, keep_chosen, one_per_group, release, small, small_batches, table, text_key
-from turnstone.llm.textbatch import SLICE_BYTES, U64, flat, mix, reduce_by_doc, shingles, slices
+from turnstone.llm.textbatch import MOST_ROWS, SLICE_BYTES, U64, distinct, flat, mix, reduce_by_doc, shingles, slices
 
 #: Words of a shingle, least Jaccard similarity of near copies, bands of a collection, minhashes of a band.
 WIDTH, THRESHOLD, SIDE, HALF, SEED = 3, 0.5, 7, 2, 0x5EED
@@ -41,10 +41,7 @@ def _sketch(batches, width: int, side: int, half: int):
         i, j = np.repeat(np.arange(side), side), np.tile(np.arange(side), side) + side
         keys = mix(bands[i] * U64(0xC2B2AE3D27D4EB4F) + bands[j]).T  # documents x tables
         # the set of shingles, each counted once, as two sums of 64 bits
-        order = np.lexsort((s, doc))
-        s, doc = s[order], doc[order]
-        once = np.concatenate([[True], (s[1:] != s[:-1]) | (doc[1:] != doc[:-1])]) if len(s) else np.empty(0, bool)
-        s, doc = s[once], doc[once]
+        s, doc = distinct(s, doc)
         fp = np.stack([reduce_by_doc(np.add, mix(s + U64(c)), doc, n, U64(0)) for c in (11, 22)], 1)
         raw = np.ascontiguousarray(fp).tobytes()
         yield pa.record_batch(
@@ -65,16 +62,12 @@ def _jaccard(batches, width: int):
         sides = []
         for side in ("a_text", "b_text"):
             s, doc = shingles(*flat(pc.utf8_lower(rows.column(side))), width)
-            order = np.lexsort((s, doc))
-            s, doc = s[order], doc[order]
-            once = np.concatenate([[True], (s[1:] != s[:-1]) | (doc[1:] != doc[:-1])]) if len(s) else np.empty(0, bool)
-            sides.append((s[once], doc[once]))
+            s, doc = distinct(s, doc)
+            sides.append((doc.astype(U64) << U64(48)) | s)
         # what both sets of a row hold lies twice in the sorted whole
-        s, doc = (np.concatenate(x) for x in zip(*sides))
-        order = np.lexsort((s, doc))
-        s, doc = s[order], doc[order]
-        twice = (s[1:] == s[:-1]) & (doc[1:] == doc[:-1])
-        both = np.bincount(doc[1:][twice], minlength=n)
+        whole = np.sort(np.concatenate(sides))
+        doc = (whole >> U64(48)).astype(np.int64)
+        both = np.bincount(doc[1:][whole[1:] == whole[:-1]], minlength=n)
         total = np.bincount(doc, minlength=n) - both
         yield pa.record_batch([rows.column("a"), rows.column("b"), pa.array(both / np.maximum(total, 1))], schema=schema)
 
@@ -85,7 +78,7 @@ def _pieces(batches):
         sizes = sum(pc.fill_null(pc.binary_length(batch.column(c)), 0).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("a_text", "b_text"))
         ends, lo = np.cumsum(sizes), 0
         while lo < batch.num_rows:
-            hi = max(lo + 1, int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + SLICE_BYTES, "right")))
+            hi = min(lo + MOST_ROWS, max(lo + 1, int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + SLICE_BYTES, "right"))))
             yield batch.slice(lo, hi - lo)
             lo = hi
 

@@ -15,6 +15,9 @@ _powers = [np.ones(1, U64), np.ones(1, U64)]
 #: Bytes of text that are looked at together; a longer document comes alone, whole.
 SLICE_BYTES = 1 << 19
 
+#: Documents that are looked at together, as distinct() has 16 bits for them.
+MOST_ROWS = 1 << 16
+
 SPACE, WORD = 0, 1
 #: Letters, digits and all bytes of non-ASCII characters make words, white space parts; a run of one other byte is a token.
 CLASSES = np.array([WORD if b >= 128 or chr(b).isalnum() else SPACE if chr(b).isspace() or b == 0 else 2 + b for b in range(256)], np.int16)
@@ -31,7 +34,7 @@ def flat(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 def slices(batches, column: str = "text", lower: bool = False) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
-    """(rows, bytes, starts) of at most SLICE_BYTES, or of one document."""
+    """(rows, bytes, starts) of at most SLICE_BYTES and MOST_ROWS, or of one document."""
     for batch in batches:
         if not batch.num_rows:
             continue
@@ -39,7 +42,7 @@ def slices(batches, column: str = "text", lower: bool = False) -> Iterator[tuple
         sizes = pc.fill_null(pc.binary_length(batch.column(k)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
         ends, lo = np.cumsum(sizes), 0
         while lo < batch.num_rows:
-            hi = max(lo + 1, int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + SLICE_BYTES, "right")))
+            hi = min(lo + MOST_ROWS, max(lo + 1, int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + SLICE_BYTES, "right"))))
             part = batch.slice(lo, hi - lo)
             texts = part.column(k)
             yield (part, *flat(pc.utf8_lower(texts) if lower else texts))
@@ -119,6 +122,18 @@ def shingles(data: np.ndarray, at: np.ndarray, width: int) -> tuple[np.ndarray,
     return s, d
 
 
+def distinct(hashes: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(hash, document) of each document's different hashes, in order; of a hash its upper 48 bits, and at most 2^16 documents.
+
+    One sort of plain integers, many times as fast as a sort by two keys.
+    """
+    both = (doc.astype(U64) << U64(48)) | (hashes >> U64(16))
+    both.sort()
+    if len(both):
+        both = both[np.concatenate([[True], both[1:] != both[:-1]])]
+    return both & U64((1 << 48) - 1), (both >> U64(48)).astype(np.int64)
+
+
 def reduce_by_doc(ufunc: np.ufunc, values: np.ndarray, doc: np.ndarray, docs: int, empty) -> np.ndarray:
     """ufunc over each document's values, which lie together; `empty` for a document that has none."""
     out = np.full((docs, *values.shape[1:]), empty, values.dtype)
