@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from turnstone.llm.common import cut, release, small, small_batches, table
-from turnstone.llm.textbatch import CLASSES, WORD, reduce_by_doc, slices, span_hashes, tokens
+from turnstone.llm.textbatch import CLASSES, WORD, mix, reduce_by_doc, slices, span_hashes, tokens
 
 #: Trees, rows of a tree, labelled rows that trees are drawn from (by hash of doc_id), share of good documents to lose.
 TREES, TREE_ROWS, FIT_ROWS, LOST, SEED = 128, 256, 8192, 0.01, 17
@@ -33,14 +33,13 @@ def _share(top: np.ndarray, below: np.ndarray, more: float) -> np.ndarray:
 
 
 def _distinct(values: np.ndarray, doc: np.ndarray, docs: int) -> tuple[np.ndarray, np.ndarray]:
-    """How many different values each document has, and how often its most frequent one."""
+    """How many different values each document has, and how often its most frequent one; by 48 bits of the values."""
     if not len(values):
         return np.zeros(docs), np.zeros(docs)
-    order = np.lexsort((values, doc))
-    v, d = values[order], doc[order]
-    heads = np.flatnonzero(np.concatenate([[True], (v[1:] != v[:-1]) | (d[1:] != d[:-1])]))
-    runs = np.diff(np.append(heads, len(v)))
-    return np.bincount(d[heads], minlength=docs).astype(float), reduce_by_doc(np.maximum, runs, d[heads], docs, 0).astype(float)
+    both = np.sort((doc.astype(np.uint64) << np.uint64(48)) | (values >> np.uint64(16)))
+    heads = np.flatnonzero(np.concatenate([[True], both[1:] != both[:-1]]))
+    runs, owner = np.diff(np.append(heads, len(both))), (both[heads] >> np.uint64(48)).astype(np.int64)
+    return np.bincount(owner, minlength=docs).astype(float), reduce_by_doc(np.maximum, runs, owner, docs, 0).astype(float)
 
 
 def statistics(data: np.ndarray, at: np.ndarray) -> np.ndarray:
@@ -62,7 +61,7 @@ def statistics(data: np.ndarray, at: np.ndarray) -> np.ndarray:
     distinct, top = _distinct(hashes, wd, docs)
     if len(hashes) > 1:
         same = wd[1:] == wd[:-1]
-        pairs = (hashes[:-1] * np.uint64(0x9FB21C651E98DF25) + hashes[1:])[same]
+        pairs = mix(hashes[:-1] * np.uint64(0x9FB21C651E98DF25) + hashes[1:])[same]
         pair_docs = wd[:-1][same]
     else:
         pairs, pair_docs = hashes[:0], wd[:0]
