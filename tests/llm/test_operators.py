@@ -311,6 +311,41 @@ def test_op10_rules_and_messy(spark, messy, empty):
     assert op10_licenses.licences(messy).filter("licences = '' and sentences = 0").count() == messy.count() and op10_licenses.licences(empty).count() == 0
 
 
+GPL = """This program is free software{} you can redistribute it and/or modify
+it under the terms of the GNU General Public License as published by
+the Free Software Foundation{} version {} of the License{}.
+
+This program is distributed in the hope that it will be useful,
+but WITHOUT ANY WARRANTY; without even the implied warranty of
+MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the
+GNU General Public License for more details.
+"""
+LATER = ", or\n(at your option) any later version"
+MPL = """This Source Code Form is subject to the terms of the Mozilla Public
+License, v. 2.0. If a copy of the MPL was not distributed with this
+file, You can obtain one at https://mozilla.org/MPL/2.0/.
+"""
+
+
+def test_op10_original_headers(spark):
+    spdx = {"Apache-2.0": "Apache-2.0", "MIT": "MIT", "GPL-3.0-only": "GPL-3.0", "GPL-3.0-or-later": "GPL-3.0", "GPL-2.0-only": "GPL-2.0", "CC0-1.0": "CC0-1.0", "BSD-3-Clause": "BSD-3-Clause", "BSD-2-Clause": "BSD-2-Clause", "MPL-2.0": "MPL-2.0"}
+    texts = [(f"// SPDX-License-Identifier: {name}\nint x;", want) for name, want in spdx.items()]
+    texts += [(GPL.format(":", ", either", 3, LATER), "GPL-3.0-or-later"), (GPL.format(":", ",", 3, ""), "GPL-3.0-or-later"), (GPL.format(";", "; either", 2, LATER), "GPL-2.0-or-later"), (MPL, "MPL-2.0")]
+    commented = lambda text, sign: f"{sign} Copyright (C) 2020 A\n{sign}\n" + "".join(f"{sign} {x}".rstrip() + "\n" for x in text.splitlines()) + "\ncode = 1\n"
+    texts += [(commented(text, sign), want) for text, want in texts[9:] for sign in ("#", " *", "//")]
+    texts += [("SPDX-License-Identifier: MIT-0", ""), ("SPDX-License-Identifier\n\nMIT", ""), ("This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.1.", "")]
+    got = {r["doc_id"]: r["licences"] for r in op10_licenses.licences(table(spark, [(k, t, "en", "s", 1) for k, (t, _) in enumerate(texts)])).collect()}
+    assert [got[k] for k in range(len(texts))] == [want for _, want in texts]
+
+
+def test_op10_every_wording_is_found_over_its_stops(spark):
+    number = {name: k for k, name in enumerate(sorted(op10_licenses.SENTENCES))}
+    known = [(w, number[name]) for name, wordings in op10_licenses.SENTENCES.items() for w in wordings]
+    rows = [(k, f"Before.\n{w.replace(' ', sign)}.\nAfter.", "en", "s", 1) for k, (w, _) in enumerate(known) for sign in (" ", ": ", "; ")]
+    got = Counter((r["doc_id"], r["sentences"]) for r in op10_licenses.licences(table(spark, rows)).collect())
+    assert got == Counter({(k, 1): 3 for k in range(len(known))})
+
+
 def test_op1_descent_reaches_the_optimum():
     rng = np.random.default_rng(2)
     rows = [np.unique(rng.integers(0, 30, 8)) for _ in range(80)]
