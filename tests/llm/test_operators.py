@@ -140,6 +140,18 @@ def test_op9_recall_against_all_pairs(spark):
         assert any({doc, keep} <= s for s in together.values())
 
 
+def test_op9_recall_just_over_the_threshold(spark):
+    """Pairs at a similarity of 0.508: 66 of 130 shingles are in both."""
+    rows = []
+    for k in range(300):
+        one = [f"p{k}w{i}" for i in range(100)]
+        two = one[:68] + [f"p{k}x{i}" for i in range(32)]
+        assert 0.5 < jaccard(shingle_set(" ".join(one)), shingle_set(" ".join(two))) < 0.51
+        rows += [(2 * k, " ".join(one), "en", "s", 1), (2 * k + 1, " ".join(two), "en", "s", 1)]
+    got = op9_minhash.near_copies(table(spark, rows)).collect()
+    assert all(r["keep_id"] // 2 == r["doc_id"] // 2 for r in got) and sum(not r["keep"] for r in got) >= 0.9 * 300
+
+
 def test_op9_finds_components_beyond_the_smallest_node(spark):
     edges = spark.createDataFrame([("a", "z"), ("z", "m"), ("m", "q"), ("c", "b"), ("x", "x")] + [(f"p{k:03d}", f"p{k + 1:03d}") for k in range(60)], "a string, b string")
     got = {r["node"]: r["root"] for r in op9_minhash.components(edges).collect()}
