@@ -152,6 +152,18 @@ def test_op9_recall_just_over_the_threshold(spark):
     assert all(r["keep_id"] // 2 == r["doc_id"] // 2 for r in got) and sum(not r["keep"] for r in got) >= 0.9 * 300
 
 
+def test_op9_rows_without_an_id_take_part(spark, tmp_path):
+    rng = random.Random(11)
+    one, two, three = (words(rng, 60) for _ in range(3))
+    rows = [(1, one), (None, one + " more"), (None, one), (None, two), (None, two), (None, two + " more"), (None, three), (2, three + " more"), (None, "alone"), (3, None), (None, None)]
+    docs = table(spark, [(*r, "en", "s", 1) for r in rows])
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    want = groups(rows, lambda x, y: jaccard(shingle_set(x[1]), shingle_set(y[1])) >= 0.5)
+    checked(op9_minhash.op9_minhash_near_dedup(spark, str(tmp_path)), want)
+    kept = corpus_pipeline.near_dedup(spark, docs, str(tmp_path))
+    assert want[1] == 6 and kept.columns == docs.columns and kept.count() == 6
+
+
 def test_op9_finds_components_beyond_the_smallest_node(spark):
     edges = spark.createDataFrame([("a", "z"), ("z", "m"), ("m", "q"), ("c", "b"), ("x", "x")] + [(f"p{k:03d}", f"p{k + 1:03d}") for k in range(60)], "a string, b string")
     got = {r["node"]: r["root"] for r in op9_minhash.components(edges).collect()}

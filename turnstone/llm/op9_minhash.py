@@ -114,7 +114,8 @@ def _verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, width: int, t
     """
     ends = pairs.select(F.explode(F.array("a", "b")).alias("fp")).distinct()
     wanted = cut(ends.join(nodes.select("fp", "doc_id", "key"), "fp"))
-    texts = cut(docs.join(small(wanted), ["doc_id", "key"]).dropDuplicates(["fp"]).select("fp", "text"))
+    known = small(wanted.select("fp", F.col("doc_id").alias("__d"), F.col("key").alias("__k")))
+    texts = cut(docs.join(known, F.col("doc_id").eqNullSafe(F.col("__d")) & (F.col("key") == F.col("__k"))).dropDuplicates(["fp"]).select("fp", "text"))
     left, right = texts.select(F.col("fp").alias("a"), F.col("text").alias("a_text")), texts.select(F.col("fp").alias("b"), F.col("text").alias("b_text"))
     found = pairs.join(left, "a").join(right, "b").select("a", "b", "a_text", "b_text").mapInArrow(lambda it: _jaccard(it, width), "a binary, b binary, jaccard double")
     out = cut(found.filter(F.col("jaccard") >= threshold))
@@ -122,8 +123,9 @@ def _verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, width: int, t
     return out
 
 
-def near_groups(docs: DataFrame, width: int = WIDTH, threshold: float = THRESHOLD, side: int = SIDE, half: int = HALF) -> DataFrame:
-    """(doc_id, key, gid): one line for each row of docs; gid names its group, null if it has no words or no doc_id.
+def near_groups(docs: DataFrame, width: int = WIDTH, threshold: float = THRESHOLD, side: int = SIDE, half: int = HALF, unnamed: bool = False) -> DataFrame:
+    """(doc_id, key, gid): one line for each row of docs; gid names its group, null if it has no words or, unless rows
+    without a doc_id take part (unnamed), no doc_id.
 
     Groups are the connected components of all candidate pairs whose Jaccard similarity reaches the threshold. Documents
     with one set of shingles are one node from the start. Candidates are verified in two rounds: every member of a bucket
@@ -133,7 +135,8 @@ def near_groups(docs: DataFrame, width: int = WIDTH, threshold: float = THRESHOL
     small_batches(docs.sparkSession)
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text")).withColumn("key", text_key())
     sketch = cut(base.mapInArrow(lambda it: _sketch(it, width, side, half), "doc_id long, key long, fp binary, keys array<long>"))
-    held = sketch.filter("fp is not null and doc_id is not null")
+    taking_part = F.col("fp").isNotNull() & (F.lit(unnamed) | F.col("doc_id").isNotNull())
+    held = sketch.filter(taking_part)
     nodes = cut(held.groupBy("fp").agg(F.min(F.struct("doc_id", "key", "keys")).alias("x")).select("fp", "x.doc_id", "x.key", "x.keys"))
     bucket = Window.partitionBy("table_key")
     full = nodes.select("fp", F.explode("keys").alias("table_key")).withColumn("least", F.min("fp").over(bucket)).withColumn("n", F.count(F.lit(1)).over(bucket)).filter("n > 1")
@@ -150,7 +153,7 @@ def near_groups(docs: DataFrame, width: int = WIDTH, threshold: float = THRESHOL
     second = _verified(cut(more.join(stars, ["a", "b"], "left_anti")), nodes, texts, width, threshold)
     groups = components(first.select("a", "b").unionByName(second.select("a", "b")))
     release(buckets, stars)
-    gid = F.when(F.col("doc_id").isNotNull() & F.col("fp").isNotNull(), F.hex(F.coalesce("root", "fp")))
+    gid = F.when(taking_part, F.hex(F.coalesce("root", "fp")))
     return sketch.select("doc_id", "key", "fp").join(groups, F.col("fp") == F.col("node"), "left").select("doc_id", "key", gid.alias("gid"))
 
 
@@ -159,7 +162,8 @@ def near_copies(docs: DataFrame, **parameters) -> DataFrame:
 
     keep_id is the smallest doc_id of the row's group of near copies, and exactly one row of a group is kept. Words are
     runs of letters and digits in lower case; a text of fewer than `width` words is one shingle. Rows with a null or
-    wordless text (empty, blank, signs only), and rows with a null doc_id, are kept and in no group. Repeated rows and
+    wordless text (empty, blank, signs only) are kept and in no group, and so are rows with a null doc_id, unless
+    `unnamed` (as in the query and the pipeline) lets them take part; keep_id is null in a group of such rows only. Repeated rows and
     ties are one group with one kept row. Further columns are ignored; no rows give no rows. Candidates are found with a
     probability of (1 - (1 - J^half)^side)^2 at similarity J: 0.92 at 0.5, 0.96 at 0.55, 0.99 at 0.62.
     """
@@ -172,7 +176,7 @@ def drop_near_copies(docs: DataFrame, **parameters) -> DataFrame:
 
 
 def op9_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_copies(table(spark, sf_dir, "documents"))
+    return near_copies(table(spark, sf_dir, "documents"), unnamed=True)
 
 
 QUERIES = {"op9_minhash_near_dedup": op9_minhash_near_dedup}
