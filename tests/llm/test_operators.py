@@ -473,6 +473,18 @@ def test_op2_evidence_is_fused(spark):
     assert got[900] == "en" and got[901] == "fr" and all(got[k] == r[2] for k, r in enumerate(rows[:120]))
 
 
+def test_op2_takes_the_declared_languages(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text", "lang", "source")
+    # a language of its own, on a host of its own; a second code for a part of the English texts
+    other = docs.filter("lang = 'de'").select(F.col("doc_id") + 10**6, F.translate(F.lower("text"), "abcdefghijklmnopqrstuvwxyz", "qwertyuiopasdfghjklzxcvbnm"), F.lit("nl-NL"), F.lit("nl.example"))
+    both = docs.withColumn("lang", F.when((F.col("lang") == "en") & (F.col("doc_id") % 3 == 0), "eng").otherwise(F.col("lang"))).union(other)
+    got = {r["doc_id"]: r for r in op2_language.languages_of_documents(both).collect()}
+    fifth = [r for k, r in got.items() if k >= 10**6]
+    assert len(fifth) > 100 and sum(r["language"] == "nl" and r["keep"] for r in fifth) > 0.95 * len(fifth)
+    plain = {r["doc_id"]: r for r in op2_language.languages_of_documents(docs).collect()}
+    assert sum(got[k]["language"] == r["language"] and got[k]["keep"] == r["keep"] for k, r in plain.items()) > 0.98 * len(plain)
+
+
 def test_one_per_group_counts_repeats(spark):
     df = spark.createDataFrame([(1, 5, "g"), (1, 5, "g"), (2, 5, "g"), (None, 5, "g"), (3, 1, None), (3, 1, None)], "doc_id long, key long, gid string")
     got = one_per_group(df).collect()

@@ -15,7 +15,10 @@ from pyspark.sql import functions as F
 from turnstone.llm.common import cut, small, small_batches, table
 from turnstone.llm.textbatch import slices
 
+#: Modelled wherever they are declared at all; any other declared language needs some text, see text_model().
 LANGUAGES = ("de", "en", "es", "fr")
+#: Nats a trigram by which a further language's model must explain its own texts better than each other's model does.
+ALIKE = 0.2
 #: Hashed dimensions of trigrams; trigrams at which a text's evidence counts half (neighbours aren't independent).
 BITS, HALF = 15, 100.0
 #: Documents' worth of a parent's shares in a child's prior; least posterior that is accepted.
@@ -37,11 +40,11 @@ def _grams(data: np.ndarray, at: np.ndarray, bits: int) -> tuple[np.ndarray, np.
 
 
 def _count(batches, languages: tuple[str, ...], bits: int):
-    """(declared, text) to (language, gram, n), one line for each pair that the task saw."""
+    """(code, text) to (language, gram, n), one line for each pair that the task saw."""
     tally = np.zeros((len(languages), 1 << bits), np.int64)
     for part, data, at in slices(batches, lower=True):
-        declared = part.column("declared").to_pylist()
-        known = np.array([languages.index(x) if x in languages else -1 for x in declared])
+        number = {x: k for k, x in enumerate(languages)}
+        known = np.array([number.get(x, -1) for x in part.column("code").to_pylist()], np.int64)
         gram, doc = _grams(data, at, bits)
         which = known[doc]
         tally += np.bincount((which[which >= 0] << bits) + gram[which >= 0].astype(np.int64), minlength=tally.size).reshape(tally.shape)
@@ -49,14 +52,41 @@ def _count(batches, languages: tuple[str, ...], bits: int):
     yield pa.record_batch([pa.array(k.astype(np.int32)), pa.array(g.astype(np.int32)), pa.array(tally[k, g])], names=["language", "gram", "n"])
 
 
-def text_model(rows: DataFrame, languages: tuple[str, ...] = LANGUAGES, bits: int = BITS) -> np.ndarray:
-    """Log shares of trigrams by language and, last, alike for none; languages * 2^bits numbers come to the driver."""
-    counted = rows.select("declared", "text").mapInArrow(lambda it: _count(it, languages, bits), "language int, gram int, n long")
+def declared_languages(rows: DataFrame, bits: int = BITS) -> tuple[str, ...]:
+    """The languages to model: those of LANGUAGES that rows (code, text) declare, then all other codes with at least as
+    much text as the smoothing of a model adds (16 KB), the largest first; LANGUAGES where nothing is declared."""
+    found = rows.filter("code != ''").groupBy("code").agg(F.sum(F.octet_length("text")).alias("size")).filter(F.col("size") > 0)
+    sizes = {r["code"]: r["size"] for r in found.filter(F.col("code").isin(*LANGUAGES) | (F.col("size") >= (1 << bits) // 2)).collect()}
+    return (*[x for x in LANGUAGES if x in sizes], *sorted(sizes.keys() - set(LANGUAGES), key=lambda x: (-sizes[x], x))) or LANGUAGES
+
+
+def text_model(rows: DataFrame, languages: tuple[str, ...] | None = None, bits: int = BITS) -> tuple[tuple[str, ...], np.ndarray]:
+    """The languages, and log shares of trigrams by language and, last, alike for none.
+
+    Without `languages` they are the declared ones, by the codes (2 or 3 letters) that declarations begin with. A code
+    beyond LANGUAGES whose texts another's model explains as well ('eng', or a wrong one on English texts) is that other
+    language: its counts join it. languages * 2^bits numbers come to the driver.
+    """
+    coded = rows.select(F.regexp_extract(F.lower("declared"), r"^\s*([a-z]{2,3})(?![a-z0-9])", 1).alias("code"), "text")
+    fixed = languages is not None
+    languages = languages if fixed else declared_languages(coded, bits)
+    counted = coded.mapInArrow(lambda it: _count(it, languages, bits), "language int, gram int, n long")
     found = counted.groupBy("language", "gram").agg(F.sum("n").alias("n")).toPandas()
     tally = np.full((len(languages), 1 << bits), 0.5)
     np.add.at(tally, (found.language, found.gram), found.n)
     logs = np.log(tally / tally.sum(1, keepdims=True))
-    return np.concatenate([logs, np.full((1, 1 << bits), -np.log(float(1 << bits)))]).T.astype(np.float32)
+    taken: list[int] = []
+    for k, name in enumerate(languages):
+        own = (tally[k] - 0.5) / max((tally[k] - 0.5).sum(), 1.0)
+        gains = [own @ (logs[k] - logs[m]) for m in taken]
+        if fixed or name in LANGUAGES or not taken or min(gains) >= ALIKE:
+            taken.append(k)
+        else:
+            into = taken[int(np.argmin(gains))]
+            tally[into] += tally[k] - 0.5
+            logs[into] = np.log(tally[into] / tally[into].sum())
+    model = np.concatenate([logs[taken], np.full((1, 1 << bits), -np.log(float(1 << bits)))]).T.astype(np.float32)
+    return tuple(languages[k] for k in taken), model
 
 
 def _evidence(batches, model: np.ndarray, bits: int, carry: list[str]):
@@ -90,7 +120,7 @@ def _sums(table_: DataFrame, by: list[str], kinds: int) -> DataFrame:
     return sums.select(*by, F.array(*[f"p{k}" for k in range(kinds)]).alias("sums"))
 
 
-def identify(rows: DataFrame, languages: tuple[str, ...] = LANGUAGES, bits: int = BITS, least: float = LEAST) -> DataFrame:
+def identify(rows: DataFrame, languages: tuple[str, ...] | None = None, bits: int = BITS, least: float = LEAST) -> DataFrame:
     """rows, which have text, declared, suffix, domain and host, and __language, __posterior and __accepted.
 
     Accepted are texts with letters whose best language has a posterior of `least` or more. Null or empty declarations,
@@ -99,7 +129,7 @@ def identify(rows: DataFrame, languages: tuple[str, ...] = LANGUAGES, bits: int
     blank = {c: F.coalesce(F.col(c), F.lit("")) for c in ("declared", "suffix", "domain", "host")}
     rows = rows.withColumns(blank)
     small_batches(rows.sparkSession)
-    model = text_model(rows, languages, bits)
+    languages, model = text_model(rows, languages, bits)
     kinds, spark = len(languages) + 1, rows.sparkSession
     held = spark.sparkContext.broadcast(model)
     narrow = rows.select("declared", "suffix", "domain", "host", "text")
