@@ -485,6 +485,15 @@ def test_op2_takes_the_declared_languages(spark):
     assert sum(got[k]["language"] == r["language"] and got[k]["keep"] == r["keep"] for k, r in plain.items()) > 0.98 * len(plain)
 
 
+def test_op2_tokens_and_numbers_say_nothing(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text", "lang", "source")
+    text = 'token = "2abc3ff2ca8fb1e4c565a0eb63815530a948bdde" From reha reenti oution thti.'
+    source = docs.filter("lang = 'en'").first()["source"]
+    more = spark.createDataFrame([(-1, text, "en", source), (-2, "2a3b4c5d", "en", source), (-3, "4012 8888 8888 1881", "en", source)], docs.schema)
+    got = {r["doc_id"]: (r["language"], r["keep"]) for r in op2_language.languages_of_documents(docs.union(more)).filter("doc_id < 0").collect()}
+    assert got == {-1: ("en", True), -2: ("und", False), -3: ("und", False)}
+
+
 def test_one_per_group_counts_repeats(spark):
     df = spark.createDataFrame([(1, 5, "g"), (1, 5, "g"), (2, 5, "g"), (None, 5, "g"), (3, 1, None), (3, 1, None)], "doc_id long, key long, gid string")
     got = one_per_group(df).collect()

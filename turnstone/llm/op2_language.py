@@ -28,14 +28,16 @@ OTHER = -6.0
 
 
 def _grams(data: np.ndarray, at: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
-    """(trigram, document) at every byte that has two more of its document after it."""
+    """(trigram, document) at every byte that has two more of its document after it; those with digits say nothing on
+    the language and are left out."""
     n = len(data) - 2
     if n <= 0:
         return np.empty(0, np.int64), np.empty(0, np.int64)
     wide = data.astype(np.uint32)
     gram = ((wide[:n] << 16 | wide[1 : n + 1] << 8 | wide[2:]) * np.uint32(0x9E3779B1)) >> np.uint32(32 - bits)
     doc = np.repeat(np.arange(len(at) - 1), np.diff(at))
-    held = doc[:n] == doc[2:]
+    digit = (data >= 48) & (data <= 57)
+    held = (doc[:n] == doc[2:]) & ~(digit[:n] | digit[1 : n + 1] | digit[2:])
     return gram[held], doc[:n][held]
 
 
@@ -90,7 +92,10 @@ def text_model(rows: DataFrame, languages: tuple[str, ...] | None = None, bits:
 
 
 def _evidence(batches, model: np.ndarray, bits: int, carry: list[str]):
-    """Adds evidence: the text's log likelihoods less the largest, weighed by n_grams -> HALF n / (n + HALF); null without letters."""
+    """Adds evidence: the text's log likelihoods less the largest, weighed by n_grams -> HALF n / (n + HALF).
+
+    Lettered are texts with letters, but not those of whose trigrams each has a digit.
+    """
     kinds = model.shape[1]
     ascii_letter = np.zeros(256, bool)
     ascii_letter[[*range(97, 123), *range(128, 256)]] = True
@@ -102,7 +107,8 @@ def _evidence(batches, model: np.ndarray, bits: int, carry: list[str]):
         mean = total / np.maximum(count, 1)[:, None]
         evidence = (mean - mean.max(1, keepdims=True)) * (HALF * count / (count + HALF))[:, None]
         letters = np.concatenate([[0], np.cumsum(ascii_letter[data])])
-        none = letters[at[1:]] == letters[at[:-1]]
+        digits = np.concatenate([[0], np.cumsum((data >= 48) & (data <= 57))])
+        none = (letters[at[1:]] == letters[at[:-1]]) | ((count == 0) & (digits[at[1:]] > digits[at[:-1]]))
         lists = pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * kinds), pa.array(evidence.ravel()))
         out = [*[part.column(c) for c in carry], lists, pa.array(~none)]
         yield pa.record_batch(out, names=[*carry, "__evidence", "__lettered"])
@@ -190,8 +196,8 @@ def page_evidence(pages: DataFrame) -> DataFrame:
 def languages_of_documents(docs: DataFrame, **parameters) -> DataFrame:
     """(doc_id, language, posterior, keep) for every row of docs.
 
-    keep is false where no language is accepted: a null, empty or letterless text (language 'und', posterior 0), a text in
-    none of the languages ('und'), or a best posterior under LEAST. A null lang or source is a value of its own; null
+    keep is false where no language is accepted: a null, empty or letterless text, or one of digits with no three bytes
+    free of them (language 'und', posterior 0), a text in none of the languages ('und'), or a best posterior under LEAST. A null lang or source is a value of its own; null
     doc_ids and repeated rows are judged like others. Whole texts count. Further columns are ignored; no rows give none.
     """
     judged = identify(document_evidence(docs.select("doc_id", "text", "lang", "source")), **parameters)
