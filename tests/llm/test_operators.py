@@ -494,6 +494,48 @@ def test_op2_tokens_and_numbers_say_nothing(spark):
     assert got == {-1: ("en", True), -2: ("und", False), -3: ("und", False)}
 
 
+def brute_languages(rows, languages=("de", "en", "es", "fr")):
+    """{doc_id: posteriors of the languages and none}, or None without letters, of (doc_id, text, lang, source)."""
+    size, kinds, grams = 1 << 15, len(languages) + 1, {}
+    for doc, text, _, _ in rows:
+        b = (text or "").lower().encode()
+        three = [b[i : i + 3] for i in range(len(b) - 2)]
+        grams[doc] = [(int.from_bytes(x, "big") * 0x9E3779B1 % 2**32) >> 17 for x in three if not any(48 <= c <= 57 for c in x)]
+    tally = {x: Counter() for x in languages}
+    for doc, _, lang, _ in rows:
+        tally[lang].update(grams[doc])
+    total = {x: sum(tally[x].values()) + size / 2 for x in languages}
+    soft = lambda logs: [np.exp(x - max(logs)) / sum(np.exp(y - max(logs)) for y in logs) for x in logs]
+    evidence, own = {}, {}
+    for doc, text, _, _ in rows:
+        n = len(grams[doc])
+        mean = [sum(np.log((tally[x][g] + 0.5) / total[x]) for g in grams[doc]) / max(n, 1) for x in languages] + [-np.log(size) if n else 0.0]
+        evidence[doc] = [(m - max(mean)) * 100 * n / (100 + n) for m in mean]
+        if re.search(r"[a-z\x80-\U0010ffff]", (text or "").lower()) and (n or not re.search("[0-9]", text)):
+            own[doc] = soft([*evidence[doc][:-1], evidence[doc][-1] - 6.0])
+    sums = lambda docs: [sum(own[d][k] for d in docs if d in own) for k in range(kinds)]
+    by = lambda at: {v: sums([r[0] for r in rows if r[at] == v]) for v in {r[at] for r in rows}}
+    whole = sums(list(own))
+    base = [(x + 1 / kinds) / (sum(whole) + 1) for x in whole]
+    smooth = lambda x, parent: [(a + 20 * p) / (sum(x) + 20) for a, p in zip(x, parent)]
+    ratio = lambda x: [np.log(a / p) for a, p in zip(smooth(x, base), base)]
+    domain, hosts, declared = smooth(whole, base), by(3), by(2)
+    parts = lambda d, lang, host: (evidence[d], np.log(smooth(hosts[host], domain)), ratio(declared[lang]), ratio(whole))
+    return {d: soft([sum(x) for x in zip(*parts(d, lang, host))]) if d in own else None for d, _, lang, host in rows}
+
+
+def test_op2_against_brute_force(spark):
+    docs = spark.read.parquet(f"{DATA}/documents.parquet").select("doc_id", "text", "lang", "source")
+    want = brute_languages([tuple(r) for r in docs.collect()])
+    got = op2_language.languages_of_documents(docs).collect()
+    assert len(got) == len(want)
+    for r in got:
+        all_ = want[r["doc_id"]]
+        best = "und" if all_ is None else ("de", "en", "es", "fr", "und")[int(np.argmax(all_))]
+        posterior = max(all_ or [0.0])
+        assert r["language"] == best and r["posterior"] == pytest.approx(posterior, abs=2e-5) and r["keep"] == (best != "und" and posterior >= 0.7)
+
+
 def test_one_per_group_counts_repeats(spark):
     df = spark.createDataFrame([(1, 5, "g"), (1, 5, "g"), (2, 5, "g"), (None, 5, "g"), (3, 1, None), (3, 1, None)], "doc_id long, key long, gid string")
     got = one_per_group(df).collect()
