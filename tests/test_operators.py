@@ -139,6 +139,22 @@ def test_engine_list_and_store(spark, roots, tmp_path):
     assert valid(again.store.load()).count() == 5
 
 
+def test_engine_lists_fresh_sessions_that_the_store_rejects(spark, tmp_path):
+    u = {"input": 10, "output": 2, "cacheRead": 0, "cacheWrite": 5, "cacheWrite1h": 25}
+    make.write(tmp_path / "pi" / "--w--" / f"2026-05-01T08-00-00-000Z_{make.UUIDS[3]}.jsonl", [
+        {"type": "session", "version": 3, "id": make.UUIDS[3], "timestamp": "2026-05-01T08:00:00.000Z", "cwd": "/w"},
+        {"type": "message", "id": "1", "parentId": None, "timestamp": "2026-05-01T08:00:01.000Z", "message": {"role": "assistant", "model": "m", "usage": u, "content": []}},
+    ])
+    make.pi_root(tmp_path / "pi")
+    (tmp_path / "pi" / "--w-pi--" / f"2026-05-01T08-00-00-000Z_{make.UUIDS[3]}.jsonl").unlink()
+    roots = {"pi": [str(tmp_path / "pi")]}
+    plain = {(r["path"], r["cache_write_5m"]) for r in Engine(spark, roots, prices.prices(spark, PRICES)).list().collect()}
+    assert len(plain) == 2 and min(x for _, x in plain) == -20
+    for _ in range(2):  # the second time one comes from the store and one is parsed again
+        e = Engine(spark, roots, prices.prices(spark, PRICES), str(tmp_path / "store"))
+        assert {(r["path"], r["cache_write_5m"]) for r in e.list().collect()} == plain and e.store.load().count() == 1
+
+
 def test_engine_commands(spark, roots):
     from turnstone.render import html, text
 

@@ -68,14 +68,17 @@ class Engine:
         refs = discover.filtered(self.refs, harness, cwd, since, subagents)
         kept = self.store.load() if self.store else None
         todo = misses(refs, kept) if kept is not None else refs
-        rows = None
+        out = hits(refs, kept) if kept is not None else None
         if not todo.isEmpty():
             p = self.parse(todo)
             turns = tables.cut(self.priced(dedup.dedup_turns(p.turns)))
             rows = tables.cut(build(p.sessions, attribution.session_totals(turns, p.sessions), turns, p.compactions, todo))
+            # only what the store gives is validated: fresh rows are listed whatever they hold
             if self.store:
-                kept = self.store.upsert(rows)
-        out = hits(refs, kept) if kept is not None else rows
+                out = tables.cut(out).select(rows.columns).unionByName(rows)
+                self.store.upsert(rows)
+            else:
+                out = rows
         if out is None:
             from turnstone.store.totals import SCHEMA
 
