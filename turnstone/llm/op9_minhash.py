@@ -13,7 +13,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from turnstone.llm.common import cut, keep_chosen, one_per_group, release, small, small_batches, table, text_key
+from turnstone.llm.common import cut, keep_chosen, one_per_group, release, small, small_batches, table, text_key, type_of
 from turnstone.llm.textbatch import MOST_ROWS, SLICE_BYTES, U64, distinct, flat, mix, reduce_by_doc, shingles, slices
 
 #: Words of a shingle, least Jaccard similarity of near copies, bands of a collection, minhashes of a band.
@@ -21,10 +21,10 @@ WIDTH, THRESHOLD, SIDE, HALF, SEED = 3, 0.5, 11, 2, 0x5EED
 
 
 def _sketch(batches, width: int, side: int, half: int):
-    """(doc_id, key, text) to (doc_id, key, fp, keys): fp names the shingle set, 16 bytes; keys are null without words."""
+    """(rid, doc_id, key, text) to (rid, doc_id, key, fp, left, right): fp names the shingle set, 16 bytes, left and right are
+    the bands of the two collections; all three are null without words."""
     draws = np.random.default_rng(SEED).integers(1, 1 << 63, (2, 2 * side * half), dtype=np.int64).astype(U64)
     scale, shift = draws[0] * U64(2) + U64(1), draws[1]
-    schema = pa.schema([("doc_id", pa.int64()), ("key", pa.int64()), ("fp", pa.binary()), ("keys", pa.list_(pa.int64()))])
     for rows, data, at in slices(batches, lower=True):
         s, doc = shingles(data, at, width)
         n = rows.num_rows
@@ -32,31 +32,25 @@ def _sketch(batches, width: int, side: int, half: int):
         least = np.empty((2 * side * half, n), U64)
         for k in range(2 * side * half):
             least[k] = reduce_by_doc(np.minimum, s * scale[k] + shift[k], doc, n, U64(0))
-        bands = np.empty((2 * side, n), U64)
+        bands = np.empty((n, 2 * side), U64)
         for b in range(2 * side):
             x = np.full(n, b + 1, U64)
             for k in range(b * half, (b + 1) * half):
                 x = mix(x * U64(0x9E3779B97F4A7C15) + least[k])
-            bands[b] = x
-        i, j = np.repeat(np.arange(side), side), np.tile(np.arange(side), side) + side
-        keys = mix(bands[i] * U64(0xC2B2AE3D27D4EB4F) + bands[j]).T  # documents x tables
+            bands[:, b] = x
         # the set of shingles, each counted once, as two sums of 64 bits
         s, doc = distinct(s, doc)
         fp = np.stack([reduce_by_doc(np.add, mix(s + U64(c)), doc, n, U64(0)) for c in (11, 22)], 1)
         raw = np.ascontiguousarray(fp).tobytes()
-        yield pa.record_batch(
-            [
-                rows.column("doc_id"), rows.column("key"),
-                pa.array([raw[16 * r : 16 * r + 16] if some[r] else None for r in range(n)], pa.binary()),
-                pa.array([keys[r].astype(np.int64) if some[r] else None for r in range(n)], pa.list_(pa.int64())),
-            ],
-            schema=schema,
-        )
+        offsets = pa.array(np.arange(n + 1, dtype=np.int32) * side, mask=np.append(~some, False))
+        sides = [pa.ListArray.from_arrays(offsets, pa.array(np.ascontiguousarray(x).astype(np.int64).ravel())) for x in (bands[:, :side], bands[:, side:])]
+        fps = pa.array([raw[16 * r : 16 * r + 16] if some[r] else None for r in range(n)], pa.binary())
+        yield pa.record_batch([*[rows.column(c) for c in ("rid", "doc_id", "key")], fps, *sides], names=["rid", "doc_id", "key", "fp", "left", "right"])
 
 
 def _jaccard(batches, width: int):
     """(a, b, a_text, b_text) to (a, b, jaccard), by the whole texts' sets of shingles."""
-    schema = pa.schema([("a", pa.binary()), ("b", pa.binary()), ("jaccard", pa.float64())])
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("jaccard", pa.float64())])
     for rows in _pieces(batches):
         n = rows.num_rows
         sides = []
@@ -112,49 +106,55 @@ def _verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, width: int, t
     Only texts of documents in a pair travel: one document a node, first narrowed to those (by a broadcast when the list
     is small), then joined to both ends.
     """
-    ends = pairs.select(F.explode(F.array("a", "b")).alias("fp")).distinct()
-    wanted = cut(ends.join(nodes.select("fp", "doc_id", "key"), "fp"))
-    known = small(wanted.select("fp", F.col("doc_id").alias("__d"), F.col("key").alias("__k")))
-    texts = cut(docs.join(known, F.col("doc_id").eqNullSafe(F.col("__d")) & (F.col("key") == F.col("__k"))).dropDuplicates(["fp"]).select("fp", "text"))
-    left, right = texts.select(F.col("fp").alias("a"), F.col("text").alias("a_text")), texts.select(F.col("fp").alias("b"), F.col("text").alias("b_text"))
-    found = pairs.join(left, "a").join(right, "b").select("a", "b", "a_text", "b_text").mapInArrow(lambda it: _jaccard(it, width), "a binary, b binary, jaccard double")
+    ends = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    wanted = cut(ends.join(nodes.select("node", "doc_id", "key"), "node"))
+    known = small(wanted.select("node", F.col("doc_id").alias("d"), F.col("key").alias("k")))
+    texts = cut(docs.join(known, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("key") == F.col("k"))).dropDuplicates(["node"]).select("node", "text"))
+    left, right = texts.select(F.col("node").alias("a"), F.col("text").alias("a_text")), texts.select(F.col("node").alias("b"), F.col("text").alias("b_text"))
+    found = pairs.join(left, "a").join(right, "b").select("a", "b", "a_text", "b_text").mapInArrow(lambda it: _jaccard(it, width), "a long, b long, jaccard double")
     out = cut(found.filter(F.col("jaccard") >= threshold))
     release(wanted, texts)
     return out
 
 
 def near_groups(docs: DataFrame, width: int = WIDTH, threshold: float = THRESHOLD, side: int = SIDE, half: int = HALF, unnamed: bool = False) -> DataFrame:
-    """(doc_id, key, gid): one line for each row of docs; gid names its group, null if it has no words or, unless rows
-    without a doc_id take part (unnamed), no doc_id.
+    """(rid, doc_id, key, gid): one line for each row of docs, with a number of its own; gid names its group, null if it has
+    no words or, unless rows without a doc_id take part (unnamed), no doc_id.
 
     Groups are the connected components of all candidate pairs whose Jaccard similarity reaches the threshold. Documents
-    with one set of shingles are one node from the start. Candidates are verified in two rounds: every member of a bucket
-    with its smallest node, then all pairs of a bucket that are still in different components, so no pair is left out
-    that could change a component, and a bucket of thousands of copies costs its length, not its square.
+    with one set of shingles are one node from the start, known by the rid of one of them. Candidates are verified in two
+    rounds: every member of a bucket with its smallest node, then all pairs of a bucket that are still in different
+    components, so no pair is left out that could change a component, and a bucket of thousands of copies costs its
+    length, not its square.
     """
     small_batches(docs.sparkSession)
-    base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text")).withColumn("key", text_key())
-    sketch = cut(base.mapInArrow(lambda it: _sketch(it, width, side, half), "doc_id long, key long, fp binary, keys array<long>"))
+    base = docs.select("doc_id", "text").withColumn("key", text_key())
+    numbered = base.select(F.monotonically_increasing_id().alias("rid"), "doc_id", "key", "text")
+    schema = f"rid long, doc_id {type_of(docs, 'doc_id')}, key struct<a: long, b: long>, fp binary, left array<long>, right array<long>"
+    sketch = cut(numbered.mapInArrow(lambda it: _sketch(it, width, side, half), schema))
     taking_part = F.col("fp").isNotNull() & (F.lit(unnamed) | F.col("doc_id").isNotNull())
-    held = sketch.filter(taking_part)
-    nodes = cut(held.groupBy("fp").agg(F.min(F.struct("doc_id", "key", "keys")).alias("x")).select("fp", "x.doc_id", "x.key", "x.keys"))
+    nodes = cut(sketch.filter(taking_part).groupBy("fp").agg(F.min(F.struct("rid", "doc_id", "key", "left", "right")).alias("x")).select("fp", F.col("x.rid").alias("node"), "x.doc_id", "x.key", "x.left", "x.right"))
+    # a table's key joins a band of the one collection with one of the other
+    crossed = nodes.select("node", F.explode("left").alias("a"), "right").select("node", "a", F.explode("right").alias("b")).select("node", F.xxhash64("a", "b").alias("table_key"))
     bucket = Window.partitionBy("table_key")
-    full = nodes.select("fp", F.explode("keys").alias("table_key")).withColumn("least", F.min("fp").over(bucket)).withColumn("n", F.count(F.lit(1)).over(bucket)).filter("n > 1")
-    buckets = cut(full)
+    buckets = cut(crossed.withColumn("least", F.min("node").over(bucket)).withColumn("n", F.count(F.lit(1)).over(bucket)).filter("n > 1"))
     texts = base.select("doc_id", "key", "text")
-    stars = cut(buckets.filter("fp != least").select(F.col("least").alias("a"), F.col("fp").alias("b")).distinct())
+    stars = cut(buckets.filter("node != least").select(F.col("least").alias("a"), F.col("node").alias("b")).distinct())
     first = _verified(stars, nodes, texts, width, threshold)
     roots = components(first)
     # pairs of one bucket that are still apart
-    apart = buckets.filter("n > 2").select("table_key", "fp").join(roots, F.col("fp") == F.col("node"), "left").select("table_key", "fp", F.coalesce("root", "fp").alias("root"))
-    several = apart.withColumn("lo", F.min("root").over(bucket)).withColumn("hi", F.max("root").over(bucket)).filter("lo < hi").select("table_key", "fp", "root")
-    other = several.select("table_key", F.col("fp").alias("b"), F.col("root").alias("b_root"))
-    more = several.join(other, "table_key").filter("root < b_root").select(F.least("fp", "b").alias("a"), F.greatest("fp", "b").alias("b")).distinct()
+    apart = buckets.filter("n > 2").select("table_key", F.col("node").alias("own")).join(roots, F.col("own") == F.col("node"), "left").select("table_key", "own", F.coalesce("root", "own").alias("root"))
+    several = apart.withColumn("lo", F.min("root").over(bucket)).withColumn("hi", F.max("root").over(bucket)).filter("lo < hi").select("table_key", "own", "root")
+    other = several.select("table_key", F.col("own").alias("b"), F.col("root").alias("b_root"))
+    more = several.join(other, "table_key").filter("root < b_root").select(F.least("own", "b").alias("a"), F.greatest("own", "b").alias("b")).distinct()
     second = _verified(cut(more.join(stars, ["a", "b"], "left_anti")), nodes, texts, width, threshold)
     groups = components(first.select("a", "b").unionByName(second.select("a", "b")))
     release(buckets, stars)
-    gid = F.when(taking_part, F.hex(F.coalesce("root", "fp")))
-    return sketch.select("doc_id", "key", "fp").join(groups, F.col("fp") == F.col("node"), "left").select("doc_id", "key", gid.alias("gid"))
+    # nodes that are with no other keep the name of their set
+    groups = groups.unionByName(groups.select(F.col("root").alias("node"), "root").distinct())
+    named = nodes.select("fp", "node").join(groups, "node").select("fp", F.concat(F.lit("n"), F.col("root")).alias("of"))
+    gid = F.when(taking_part, F.coalesce("of", F.hex("fp")))
+    return sketch.select("rid", "doc_id", "key", "fp").join(named, "fp", "left").select("rid", "doc_id", "key", gid.alias("gid"))
 
 
 def near_copies(docs: DataFrame, **parameters) -> DataFrame:
@@ -164,15 +164,16 @@ def near_copies(docs: DataFrame, **parameters) -> DataFrame:
     runs of letters and digits in lower case; a text of fewer than `width` words is one shingle. Rows with a null or
     wordless text (empty, blank, signs only) are kept and in no group, and so are rows with a null doc_id, unless
     `unnamed` (as in the query and the pipeline) lets them take part; keep_id is null in a group of such rows only. Repeated rows and
-    ties are one group with one kept row. Further columns are ignored; no rows give no rows. Candidates are found with a
+    ties are one group with one kept row. doc_id may be of any type that has an order. Further columns are ignored; no
+    rows give no rows. Candidates are found with a
     probability of (1 - (1 - J^half)^side)^2 at similarity J: 0.92 at 0.5, 0.96 at 0.55, 0.99 at 0.62.
     """
-    return one_per_group(near_groups(docs, **parameters)).select("doc_id", "keep_id", "keep")
+    return one_per_group(near_groups(docs, **parameters), "key").select("doc_id", "keep_id", "keep")
 
 
 def drop_near_copies(docs: DataFrame, **parameters) -> DataFrame:
     """docs with one row of each group of near copies, with all its columns; decided as in near_copies()."""
-    return keep_chosen(docs, one_per_group(near_groups(docs, **parameters)))
+    return keep_chosen(docs, one_per_group(near_groups(docs, **parameters), "key"))
 
 
 def op9_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
