@@ -1,18 +1,21 @@
 """Operator 4, sequence packing by shortest-pack-first over the histogram of lengths.
 
 Lengths are placed longest first, each into the emptiest pack that has room, many equal packs at a time: what is kept is
-how many packs have each pattern of lengths. Patterns then go back to the documents by their rank within their length.
+how many packs have each pattern of lengths. Patterns then go back to the documents by their rank.
 """
 
 from __future__ import annotations
 
 import heapq
-from collections import defaultdict
+from collections import Counter, defaultdict
+from itertools import groupby
 
-from pyspark.sql import DataFrame, SparkSession, Window
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from turnstone.llm.common import cut, small, table
+from turnstone.llm.common import cut, release, table, type_of
 
 #: Byte-level tokens of a pack; a document is its UTF-8 bytes and one end token.
 CAPACITY = 8192
@@ -59,43 +62,62 @@ def pieces(docs: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     return cutup.select("doc_id", "piece", start.alias("start"), F.least(F.lit(capacity), F.col("tokens") - start).cast("int").alias("length"))
 
 
+def _slots(histogram: dict[int, int], capacity: int) -> tuple[np.ndarray, int]:
+    """What the patterns give to each length, as rows (first rank over all pieces, length, first pack, pieces a pack, offset)
+    in order of rank: pieces are ranked by length, then within it."""
+    base, at = {}, 0
+    for length in sorted(histogram):
+        base[length] = at
+        at += histogram[length]
+    slots, taken, packs = [], defaultdict(int), 0
+    for pattern, count in patterns(histogram, capacity):
+        offset = 0
+        for length, run in groupby(pattern):
+            times = len(list(run))
+            slots.append((base[length] + taken[length], length, packs, times, offset))
+            taken[length] += count * times
+            offset += length * times
+        packs += count
+    return np.array(sorted(slots), np.int64).reshape(-1, 5), packs
+
+
+def _placed(batches, firsts: np.ndarray, slots: np.ndarray):
+    """(doc_id, piece, start, length, at) to (doc_id, piece, start, length, pack_id, offset). at is the number of a partition
+    and the place in it, firsts the rank of each partition's first piece."""
+    for batch in batches:
+        at = batch.column("at").to_numpy(zero_copy_only=False)
+        rank = firsts[at >> 33] + (at & ((1 << 33) - 1))
+        first, length, pack_, times, offset = slots[np.searchsorted(slots[:, 0], rank, "right") - 1].T
+        nth = rank - first
+        yield pa.record_batch([*batch.columns[:4], pa.array(pack_ + nth // times), pa.array((offset + nth % times * length).astype(np.int32))], names=["doc_id", "piece", "start", "length", "pack_id", "offset"])
+
+
 def pack(docs: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     """(doc_id, piece, start, length, pack_id, offset): where each piece of each row of docs lies; a pack's pieces fill it
     from offset 0 without gaps, up to `capacity` tokens.
 
     A text is its bytes and an end token, so an empty or null text is one token. Null doc_ids rank last and repeated rows
-    are packed each. Ties of length are ranked by doc_id, start. No rows give no rows; columns other than doc_id and
-    text are ignored. Only the histogram, of at most `capacity` lines, comes to the driver.
+    are packed each. Ties of length are ranked by doc_id, which may be of any type that has an order, and start. No rows
+    give no rows; columns other than doc_id and text are ignored.
+
+    Ranks come from one range sort of the pieces, without texts, cut anywhere, also within a length: what comes to the
+    driver is how many pieces of each length each range has, one line a range and one a length.
     """
     spark = docs.sparkSession
-    rows = cut(pieces(docs, capacity))
-    histogram = {r["length"]: r["n"] for r in rows.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}
-    slots, taken, packs = [], defaultdict(int), 0
-    for pattern, count in patterns(histogram, capacity):
-        offset, at = 0, 0
-        while at < len(pattern):
-            length, times = pattern[at], pattern.count(pattern[at])
-            slots.append((length, taken[length], taken[length] + count * times, packs, times, offset))
-            taken[length] += count * times
-            offset += length * times
-            at += times
-        packs += count
-    plan = spark.createDataFrame(slots, "length int, lo long, hi long, pack long, times int, at int")
-    # a length's ranks are cut in blocks, so that a rank meets few of its length's slots
-    per = F.row_number().over(Window.partitionBy("length").orderBy(F.col("doc_id").asc_nulls_last(), "start")) - 1
-    ranked = rows.withColumn("rank", per.cast("long")).withColumn("block", F.col("rank").bitwiseAND(~(BLOCK - 1)))
-    spread = plan.select("*", F.explode(F.sequence(F.col("lo").bitwiseAND(~(BLOCK - 1)), F.col("hi") - 1, F.lit(BLOCK).cast("long"))).alias("block"))
-    found = ranked.join(small(spread), ["length", "block"]).filter("rank >= lo and rank < hi")
-    nth = (F.col("rank") - F.col("lo")) % F.col("times")
-    return found.select(
-        "doc_id", "piece", "start", "length",
-        (F.col("pack") + F.floor((F.col("rank") - F.col("lo")) / F.col("times"))).alias("pack_id"),
-        (F.col("at") + nth * F.col("length")).cast("int").alias("offset"),
-    )
-
-
-#: Ranks of a block, a power of 2.
-BLOCK = 256
+    rows = cut(pieces(docs, capacity).withColumn("tie", F.monotonically_increasing_id()))
+    order = [F.col("length"), F.col("doc_id").asc_nulls_last(), F.col("start"), F.col("tie")]
+    ranged = rows.repartitionByRange(*order).sortWithinPartitions(*order)
+    ranged = cut(ranged.select("doc_id", "piece", "start", "length", F.monotonically_increasing_id().alias("at")))
+    release(rows)
+    counted = ranged.groupBy(F.shiftright("at", 33).alias("part"), "length").agg(F.count(F.lit(1)).alias("n")).collect()
+    histogram, parts = Counter(), Counter()
+    for r in counted:
+        histogram[r["length"]] += r["n"]
+        parts[r["part"]] += r["n"]
+    sizes = np.zeros(max(parts, default=0) + 1, np.int64)
+    sizes[list(parts)] = list(parts.values())
+    held = spark.sparkContext.broadcast((np.cumsum(sizes) - sizes, _slots(dict(histogram), capacity)[0]))
+    return ranged.mapInArrow(lambda it: _placed(it, *held.value), f"doc_id {type_of(docs, 'doc_id')}, piece int, start long, length int, pack_id long, offset int")
 
 
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
