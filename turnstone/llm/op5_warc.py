@@ -151,7 +151,7 @@ def borders(pages: DataFrame, target: int = TARGET, date: str = DATE) -> list[tu
 
 
 def write_warc(pages: DataFrame, folder: str, target: int = TARGET, date: str = DATE) -> DataFrame:
-    """Write pages as WARC files below folder and give (page_id, url, file, offset, length, digest), one line a record.
+    """Write pages as WARC files below folder, which must not hold an index yet (else AnalysisException), and give (page_id, url, file, offset, length, digest), one line a record.
 
     Every row is written, repeated ones too, next to each other and in one file. Null page_ids, urls and html are written
     as record() says; so are empty and very long pages, of which one larger than the target has a file almost alone. No
@@ -163,8 +163,10 @@ def write_warc(pages: DataFrame, folder: str, target: int = TARGET, date: str =
     fs, root = pafs.FileSystem.from_uri(folder)
     fs.create_dir(root, recursive=True)
     cuts = borders(pages, target, date)
-    blobs = pages.select("page_id", "url", "html").mapInArrow(lambda it: _blobs(it, date, cuts), "shard int, url string, page_id long, digest string, blob binary")
-    together = blobs.repartition("shard").sortWithinPartitions("shard", *ORDER)
+    held = spark.sparkContext.broadcast(cuts)
+    blobs = pages.select("page_id", "url", "html").mapInArrow(lambda it: _blobs(it, date, held.value), "shard int, url string, page_id long, digest string, blob binary")
+    # a task a file, so the largest task holds what a file holds
+    together = blobs.repartitionById(max(1, len(cuts)), "shard").sortWithinPartitions("shard", *ORDER)
     written = together.mapInArrow(lambda it: _write(it, folder, date), FILES)
     written.write.parquet(f"{folder}/index")
     index = spark.read.schema(FILES).parquet(f"{folder}/index")
