@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from turnstone.llm.common import cut, small, small_batches, table
+from turnstone.llm.common import cut, small, small_batches, table, tucked, type_of
 from turnstone.llm.textbatch import slices
 
 #: Modelled wherever they are declared at all; any other declared language needs some text, see text_model().
@@ -114,6 +114,10 @@ def _evidence(batches, model: np.ndarray, bits: int, carry: list[str]):
         yield pa.record_batch(out, names=[*carry, "__evidence", "__lettered"])
 
 
+#: What groups are counted by, besides the text.
+GROUPS = ("declared", "suffix", "domain", "host")
+
+
 def _softmax(logs: Column) -> Column:
     top = F.array_max(logs)
     raised = F.transform(logs, lambda x: F.exp(x - top))
@@ -126,21 +130,23 @@ def _sums(table_: DataFrame, by: list[str], kinds: int) -> DataFrame:
     return sums.select(*by, F.array(*[f"p{k}" for k in range(kinds)]).alias("sums"))
 
 
-def identify(rows: DataFrame, languages: tuple[str, ...] | None = None, bits: int = BITS, least: float = LEAST) -> DataFrame:
-    """rows, which have text, declared, suffix, domain and host, and __language, __posterior and __accepted.
+def identify(rows: DataFrame, carry: list[str], languages: tuple[str, ...] | None = None, bits: int = BITS, least: float = LEAST) -> DataFrame:
+    """The columns `carry` of rows, which have text, declared, suffix, domain and host too, and __language, __posterior and
+    __accepted.
 
     Accepted are texts with letters whose best language has a posterior of `least` or more. Null or empty declarations,
-    suffixes, domains and hosts are a value of their own, '', that carries its own (weak) evidence.
+    suffixes, domains and hosts are a value of their own, '', that carries its own (weak) evidence. Texts are scored once;
+    what goes on from there is a written table of the carried columns and the evidence, without the text unless carried.
     """
-    blank = {c: F.coalesce(F.col(c), F.lit("")) for c in ("declared", "suffix", "domain", "host")}
+    blank = {c: F.coalesce(F.col(c), F.lit("")) for c in GROUPS}
     rows = rows.withColumns(blank)
     small_batches(rows.sparkSession)
     languages, model = text_model(rows, languages, bits)
     kinds, spark = len(languages) + 1, rows.sparkSession
     held = spark.sparkContext.broadcast(model)
-    narrow = rows.select("declared", "suffix", "domain", "host", "text")
-    carry = ["declared", "suffix", "domain", "host"]
-    scored = narrow.mapInArrow(lambda it: _evidence(it, held.value, bits, carry), "declared string, suffix string, domain string, host string, __evidence array<double>, __lettered boolean")
+    names = [*carry, *GROUPS]
+    schema = ", ".join(f"`{c}` {type_of(rows, c)}" for c in names) + ", __evidence array<double>, __lettered boolean"
+    scored = cut(rows.select(*names, *[c for c in ["text"] if c not in names]).mapInArrow(lambda it: _evidence(it, held.value, bits, names), schema))
     flat = F.array(*[F.element_at("__evidence", k + 1) + (F.lit(OTHER) if k == kinds - 1 else F.lit(0.0)) for k in range(kinds)])
     own = scored.filter("__lettered").withColumn("__own", _softmax(flat))
     sums = cut(own.groupBy("declared", "suffix", "domain", "host").agg(*[F.sum(F.element_at("__own", k + 1)).alias(f"p{k}") for k in range(kinds)]))
@@ -163,10 +169,7 @@ def identify(rows: DataFrame, languages: tuple[str, ...] | None = None, bits: in
         return cut(_sums(sums, [by], kinds).select(by, F.zip_with("sums", root, lambda x, p: F.log((x + SMOOTH * p) / (size + SMOOTH) / p)).alias(f"__{by}")))
 
     declared, suffixes = ratio("declared"), ratio("suffix")
-    names = rows.columns
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema) + ", __evidence array<double>, __lettered boolean"
-    full = rows.mapInArrow(lambda it: _evidence(it, held.value, bits, names), schema)
-    full = full.join(small(hosts), ["domain", "host"], "left").join(small(declared), ["declared"], "left").join(small(suffixes), ["suffix"], "left")
+    full = scored.join(small(hosts), ["domain", "host"], "left").join(small(declared), ["declared"], "left").join(small(suffixes), ["suffix"], "left")
     zero = F.array(*[F.lit(0.0)] * kinds)
     prior = F.transform(F.coalesce("__prior", root), lambda p: F.log(F.greatest(p, F.lit(1e-9))))
     add = lambda a, b: F.zip_with(a, b, lambda x, y: x + y)
@@ -176,7 +179,7 @@ def identify(rows: DataFrame, languages: tuple[str, ...] | None = None, bits: in
     named = F.array(*[F.lit(x) for x in languages], F.lit("und"))
     posterior = posterior.withColumn("__language", F.coalesce(F.element_at(named, F.when(best > 0, best.cast("int"))), F.lit("und"))).withColumn("__posterior", F.coalesce(F.array_max("__all"), F.lit(0.0)))
     accepted = (F.col("__language") != "und") & (F.col("__posterior") >= least)
-    return posterior.withColumn("__accepted", accepted).select(*rows.columns, "__language", "__posterior", "__accepted")
+    return posterior.withColumn("__accepted", accepted).select(*carry, "__language", "__posterior", "__accepted")
 
 
 def document_evidence(docs: DataFrame) -> DataFrame:
@@ -184,13 +187,23 @@ def document_evidence(docs: DataFrame) -> DataFrame:
     return docs.withColumns({"declared": F.lower("lang"), "suffix": F.lit(""), "domain": F.lit(""), "host": F.col("source")})
 
 
+#: Under a country's suffix these are no domains of their own, so that a domain has one label more.
+SECOND = "ac|co|com|edu|gob|gov|go|mil|ne|net|nom|or|org"
+
+
 def page_evidence(pages: DataFrame) -> DataFrame:
-    """(page_id, url, text, declared, suffix, domain, host) of raw pages; markup, scripts and styles are no text."""
+    """(page_id, url, text, declared, suffix, domain, host) of raw pages; markup, scripts and styles are no text.
+
+    A domain is a host's last two labels, or three as in x.co.uk; a numeric address has no suffix and is its own domain.
+    """
     bare = F.regexp_replace(F.regexp_replace("html", r"(?is)<(script|style)\b.*?</\1\s*>|<!--.*?-->", " "), r"(?s)<[^>]*>|&[#\w]+;", " ")
     host = F.lower(F.regexp_extract("url", r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/@?#]*@)?([^/:?#]+)", 1))
-    return pages.select("page_id", "url", bare.alias("text"), F.lower(F.regexp_extract("html", r"""(?is)<html\b[^>]*?\blang\s*=\s*["']?([a-zA-Z]{2,3})""", 1)).alias("declared"), host.alias("host")).withColumns(
-        {"suffix": F.regexp_extract("host", r"([^.]+)$", 1), "domain": F.regexp_extract("host", r"([^.]+\.[^.]+)$", 1)}
-    )
+    declared = F.lower(F.regexp_extract("html", r"""(?is)<html\b[^>]*?\blang\s*=\s*["']?([a-zA-Z]{2,3})""", 1))
+    number = F.col("host").rlike(r"^\d+(\.\d+){3}$")
+    return pages.select("page_id", "url", bare.alias("text"), declared.alias("declared"), host.alias("host")).withColumns({
+        "suffix": F.when(number, "").otherwise(F.regexp_extract("host", r"([^.]+)$", 1)),
+        "domain": F.when(number, F.col("host")).otherwise(F.regexp_extract("host", rf"([^.]+\.(?:{SECOND})\.[a-z]{{2}}|[^.]+\.[^.]+)$", 1)),
+    })
 
 
 def languages_of_documents(docs: DataFrame, **parameters) -> DataFrame:
@@ -200,7 +213,7 @@ def languages_of_documents(docs: DataFrame, **parameters) -> DataFrame:
     free of them (language 'und', posterior 0), a text in none of the languages ('und'), or a best posterior under LEAST. A null lang or source is a value of its own; null
     doc_ids and repeated rows are judged like others. Whole texts count. Further columns are ignored; no rows give none.
     """
-    judged = identify(document_evidence(docs.select("doc_id", "text", "lang", "source")), **parameters)
+    judged = identify(document_evidence(docs.select("doc_id", "text", "lang", "source")), ["doc_id"], **parameters)
     return judged.select("doc_id", F.col("__language").alias("language"), F.round("__posterior", 6).alias("posterior"), F.col("__accepted").alias("keep"))
 
 
@@ -209,17 +222,21 @@ def languages_of_pages(pages: DataFrame, **parameters) -> DataFrame:
 
     A null or odd url has an empty host, domain and suffix; html that declares no language has an empty declaration.
     """
-    judged = identify(page_evidence(pages), **parameters)
+    judged = identify(page_evidence(pages), ["page_id"], **parameters)
     return judged.select("page_id", F.col("__language").alias("language"), F.round("__posterior", 6).alias("posterior"), F.col("__accepted").alias("keep"))
 
 
 def keep_identified(docs: DataFrame, **parameters) -> DataFrame:
-    """The rows of docs whose language is accepted, with all columns of docs."""
-    own = [F.col(c).alias(f"__in_{k}") for k, c in enumerate(docs.columns)]
-    held = docs.select(*own, F.col("text").alias("text"), F.lower("lang").alias("declared"), F.lit("").alias("suffix"), F.lit("").alias("domain"), F.col("source").alias("host"))
-    text_at = docs.columns.index("text")
-    judged = identify(held.drop(f"__in_{text_at}"), **parameters).filter("__accepted")
-    return judged.select(*[F.col("text" if k == text_at else f"__in_{k}").alias(c) for k, c in enumerate(docs.columns)])
+    """The rows of docs whose language is accepted, with all columns of docs, whatever their names.
+
+    Rows are carried whole beside their evidence, so that texts are scored once and no join moves them unless the hosts
+    are too many to broadcast.
+    """
+    tuck, back = tucked(docs)
+    text_at = f"in_{docs.columns.index('text')}"
+    held = document_evidence(docs.select(*tuck, "text", "lang", "source")).drop("lang", "source")
+    judged = identify(held.drop(text_at), [*[c for c in held.columns if c.startswith("in_") and c != text_at], "text"], **parameters).filter("__accepted")
+    return judged.withColumn(text_at, F.col("text")).select(back)
 
 
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
