@@ -7,10 +7,13 @@ documents with the smallest [u / (1 - u)] / [p / (1 - p)], u uniform from a hash
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+import math
+from fractions import Fraction
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from turnstone.llm.common import cut, small, table, text_key
+from turnstone.llm.common import cut, repeated, small, table, tucked
 
 SEED = "mix-1"
 #: Order classes of the Pareto ranks by source: whole classes are taken or left, only the one at the border is sorted.
@@ -21,17 +24,34 @@ def _rank(u, p):
     return (u / (1 - u)) / (p / (1 - p))
 
 
-def allocation(docs: DataFrame, weights: dict[str, int] | None = None, budget: int | None = None, other: int = 1) -> DataFrame:
+def whole_weights(weights: dict[str, float], other: float) -> tuple[dict[str, int], int]:
+    """The weights, which may be fractions, in whole numbers of the same ratios; ValueError for a negative or odd one."""
+    exact = {}
+    for name, w in [*weights.items(), (None, other)]:
+        try:
+            exact[name] = Fraction(str(w))
+        except ValueError as e:
+            raise ValueError(f"the weight {w!r} is no number") from e
+        if exact[name] < 0:
+            raise ValueError(f"the weight {w!r} is negative")
+    unit = math.lcm(*[x.denominator for x in exact.values()])
+    whole = {name: int(x * unit) for name, x in exact.items()}
+    return {name: w for name, w in whole.items() if name is not None}, whole[None]
+
+
+def allocation(docs: DataFrame, weights: dict[str, float] | None = None, budget: int | None = None, other: float = 1) -> DataFrame:
     """(source, size, share): integer shares of the budget by weight; remainders go to the first sources by name.
 
-    `weights` holds whole numbers, `other` is the weight of a source that it doesn't name. A null source is a source of
-    its own, written as ''. The budget is the number of rows unless given. A source of weight 0 gets nothing.
+    `weights` holds any numbers of 0 or more, of which the ratios count (0.7 and 0.3 are 7 and 3); `other` is the weight of
+    a source that it doesn't name. A null source is a source of its own, written as ''. The budget is the number of rows
+    unless given. A source of weight 0 gets nothing.
     """
     sizes = docs.groupBy(F.coalesce("source", F.lit("")).alias("source")).agg(F.sum(_size()).alias("size"), F.count(F.lit(1)).alias("n"))
-    weight = F.lit(other)
-    for name, w in (weights or {}).items():
-        weight = F.when(F.col("source") == name, F.lit(int(w))).otherwise(weight)
-    sizes = sizes.withColumn("weight", weight.cast("decimal(38,0)"))
+    named, rest = whole_weights(weights or {}, other)
+    weight = F.lit(rest).cast("decimal(38,0)")
+    for name, w in named.items():
+        weight = F.when(F.col("source") == name, F.lit(w).cast("decimal(38,0)")).otherwise(weight)
+    sizes = sizes.withColumn("weight", weight)
     total = sizes.agg(F.sum("weight").alias("w"), (F.lit(budget) if budget is not None else F.sum("n")).cast("decimal(38,0)").alias("b"))
     floor = sizes.crossJoin(F.broadcast(total)).withColumn("base", F.when(F.col("w") > 0, F.floor(F.expr("(b * weight) div w"))).otherwise(F.lit(0)).cast("long"))
     given = floor.agg(F.sum("base").alias("dealt"))
@@ -40,75 +60,80 @@ def allocation(docs: DataFrame, weights: dict[str, int] | None = None, budget: i
     return ranked.select("source", "size", (F.col("base") + (F.col("nth") <= F.col("b") - F.col("dealt")).cast("long")).alias("share"))
 
 
-def _size():
+def _size() -> Column:
     """The measure of size: the bit length of n_chars, so 1 for null, none or fewer, 12 for 3,000 characters."""
     return F.length(F.bin(F.greatest(F.coalesce(F.col("n_chars"), F.lit(0)), F.lit(0)))).cast("long")
 
 
-def _marked(docs: DataFrame, shares: DataFrame, seed: str) -> DataFrame:
-    """docs with __s source, __whole certain copies, __q Pareto rank of the fraction (null where there is none)."""
-    held = shares.select(F.col("source").alias("__s"), F.col("size").alias("__size"), F.col("share").alias("__share"))
-    rows = docs.withColumn("__s", F.coalesce("source", F.lit(""))).join(small(held), "__s", "left")
-    product = F.coalesce("__share", F.lit(0)).cast("decimal(20,0)") * _size().cast("decimal(10,0)")
-    rows = rows.withColumn("__product", product).withColumn("__whole", F.coalesce(F.expr("__product div __size"), F.lit(0)).cast("long"))
-    rows = rows.withColumn("__left", (F.col("__product") - F.col("__whole").cast("decimal(20,0)") * F.col("__size")).cast("long"))
+def _marked(rows: DataFrame, shares: DataFrame, seed: str) -> DataFrame:
+    """rows (doc_id, source, n_chars, ...) with s source, whole certain copies, q Pareto rank of the fraction (null where
+    there is none), instead of source and n_chars."""
+    held = shares.select(F.col("source").alias("s"), "size", "share")
+    out = rows.withColumn("s", F.coalesce("source", F.lit(""))).join(small(held), "s", "left")
+    product = F.coalesce("share", F.lit(0)).cast("decimal(20,0)") * _size().cast("decimal(10,0)")
+    out = out.withColumn("product", product).withColumn("whole", F.coalesce(F.expr("product div size"), F.lit(0)).cast("long"))
+    out = out.withColumn("left", (F.col("product") - F.col("whole").cast("decimal(20,0)") * F.col("size")).cast("long"))
     u = (F.conv(F.substring(F.md5(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(f"|{seed}")).cast("binary")), 1, 13), 16, 10).cast("double") + 0.5) / F.lit(float(1 << 52))
-    rows = rows.withColumn("__p", F.col("__left").cast("double") / F.col("__size").cast("double"))
-    rows = rows.withColumn("__q", F.when(F.col("__left") > 0, _rank(u, F.col("__p"))))
-    return rows.drop("__product", "__left", "__p", "__size", "__share")
+    out = out.withColumn("q", F.when(F.col("left") > 0, _rank(u, F.col("left").cast("double") / F.col("size").cast("double"))))
+    return out.drop("product", "left", "size", "share", "source", "n_chars")
 
 
-def draws(docs: DataFrame, weights: dict[str, int] | None = None, budget: int | None = None, seed: str = SEED) -> DataFrame:
-    """docs and a column __copies, 0 or more, that adds up to each source's share.
+def _draws(rows: DataFrame, weights: dict[str, float] | None, budget: int | None, seed: str, tie: Column) -> DataFrame:
+    """rows (doc_id, source, n_chars and others) with s, the source, and copies, 0 or more, that add up to each source's share.
 
-    The border of each source is found on (source, doc_id, n_chars) alone; then one pass over docs applies it, and no
+    The border of each source is found on (source, doc_id, n_chars) alone; then one pass over rows applies it, and no
     text is shuffled.
     """
-    shares = cut(allocation(docs, weights, budget))
-    narrow = _marked(docs.select("doc_id", "source", "n_chars"), shares, seed).select("__s", "doc_id", "__whole", "__q")
+    shares = cut(allocation(rows.select("source", "n_chars"), weights, budget))
+    narrow = _marked(rows.select("doc_id", "source", "n_chars"), shares, seed)
     # order classes are monotone in q: q / (1 + q) lies in 0..1
-    narrow = narrow.withColumn("class", F.floor(F.col("__q") / (1 + F.col("__q")) * CLASSES))
-    counts = cut(narrow.groupBy("__s", "class").agg(F.count(F.lit(1)).alias("n"), F.sum("__whole").alias("whole")))
-    need = counts.groupBy("__s").agg(F.sum("whole").alias("whole")).join(shares.select(F.col("source").alias("__s"), "share"), "__s").select("__s", (F.col("share") - F.col("whole")).alias("need"))
-    upto = F.sum("n").over(Window.partitionBy("__s").orderBy("class"))
-    border = counts.filter("class is not null").withColumn("upto", upto).join(need, "__s").filter("need > 0 and upto >= need and upto - n < need").select("__s", "class", (F.col("need") - F.col("upto") + F.col("n")).alias("take"))
+    narrow = narrow.withColumn("class", F.floor(F.col("q") / (1 + F.col("q")) * CLASSES))
+    counts = cut(narrow.groupBy("s", "class").agg(F.count(F.lit(1)).alias("n"), F.sum("whole").alias("whole")))
+    need = counts.groupBy("s").agg(F.sum("whole").alias("whole")).join(shares.select(F.col("source").alias("s"), "share"), "s").select("s", (F.col("share") - F.col("whole")).alias("need"))
+    upto = F.sum("n").over(Window.partitionBy("s").orderBy("class"))
+    border = counts.filter("class is not null").withColumn("upto", upto).join(need, "s").filter("need > 0 and upto >= need and upto - n < need").select("s", "class", (F.col("need") - F.col("upto") + F.col("n")).alias("take"))
     border = cut(border)  # one class a source
-    close = narrow.join(small(border), ["__s", "class"])
-    order = Window.partitionBy("__s").orderBy("__q", F.col("doc_id").asc_nulls_last())
+    close = narrow.join(small(border), ["s", "class"])
+    order = Window.partitionBy("s").orderBy("q", F.col("doc_id").asc_nulls_last())
     close = close.withColumn("nth", F.row_number().over(order)).withColumn("tie", F.dense_rank().over(order))
-    ties = close.groupBy("__s", "tie", "take").agg(F.min("__q").alias("__edge"), F.min("doc_id").alias("__edge_id"), F.count(F.lit(1)).alias("__ties"), F.min("nth").alias("lo"), F.max("nth").alias("hi"))
-    edge = cut(ties.filter("lo <= take and take <= hi").select("__s", "__edge", "__edge_id", "__ties", (F.col("take") - F.col("lo") + 1).alias("__taken")))
-    rows = _marked(docs, shares, seed).join(small(edge), "__s", "left")
-    none = F.lit(1 << 62)
-    mine, last = F.coalesce("doc_id", none), F.coalesce("__edge_id", none)
-    below = (F.col("__q") < F.col("__edge")) | ((F.col("__q") == F.col("__edge")) & (mine <= last))
-    rows = rows.withColumn("__copies", F.col("__whole") + F.coalesce(below, F.lit(False)).cast("long"))
-    out = [*docs.columns, "__copies"]
-    if edge.filter("__taken < __ties").isEmpty():
-        return rows.select(out)
-    # rows of one source, rank and doc_id at the border, of which only some are taken: by text
-    tied = F.coalesce((F.col("__q") == F.col("__edge")) & (mine == last) & (F.col("__taken") < F.col("__ties")), F.lit(False))
-    nth = F.row_number().over(Window.partitionBy("__s").orderBy(text_key() if "text" in docs.columns else "doc_id"))
-    some = rows.filter(tied).withColumn("__copies", F.col("__whole") + (nth <= F.col("__taken")).cast("long"))
-    return rows.filter(~tied).select(out).unionByName(some.select(out))
-
-
-def mixture(docs: DataFrame, weights: dict[str, int] | None = None, budget: int | None = None, seed: str = SEED) -> DataFrame:
+    place = lambda doc: F.struct(doc.isNull().alias("none"), doc.alias("doc"))  # noqa: E731  nulls last
+    ties = close.groupBy("s", "tie", "take").agg(F.min("q").alias("edge"), F.min(place(F.col("doc_id"))).alias("edge_doc"), F.count(F.lit(1)).alias("ties"), F.min("nth").alias("lo"), F.max("nth").alias("hi"))
+    edge = cut(ties.filter("lo <= take and take <= hi").select("s", "edge", "edge_doc", "ties", (F.col("take") - F.col("lo") + 1).alias("taken")))
+    marked = _marked(rows, shares, seed).join(small(edge), "s", "left")
+    mine = place(F.col("doc_id"))
+    below = (F.col("q") < F.col("edge")) | ((F.col("q") == F.col("edge")) & (mine <= F.col("edge_doc")))
+    marked = marked.withColumn("copies", F.col("whole") + F.coalesce(below, F.lit(False)).cast("long"))
+    out = [c for c in rows.columns if c not in ("source", "n_chars")] + ["s", "copies"]
+    if edge.filter("taken < ties").isEmpty():
+        return marked.select(out)
+    # rows of one source, rank and doc_id at the border, of which only some are taken
+    tied = F.coalesce((F.col("q") == F.col("edge")) & (mine == F.col("edge_doc")) & (F.col("taken") < F.col("ties")), F.lit(False))
+    nth = F.row_number().over(Window.partitionBy("s").orderBy(tie))
+    some = marked.filter(tied).withColumn("copies", F.col("whole") + (nth <= F.col("taken")).cast("long"))
+    return marked.filter(~tied).select(out).unionByName(some.select(out))
+
+
+def mixture(docs: DataFrame, weights: dict[str, float] | None = None, budget: int | None = None, seed: str = SEED) -> DataFrame:
     """(doc_id, source, copies) of every row that is drawn at least once.
 
-    All sources weigh the same unless `weights` says otherwise, and the budget is the number of rows. A null source is
-    a source of its own, ''. A null or negative n_chars counts as 0, of the smallest measure. Null doc_ids share one u;
-    repeated rows each take part, and ties go to the smaller doc_id, null last. Texts, null or not, are not read. No rows
-    give no rows; further columns are ignored.
+    All sources weigh the same unless `weights` says otherwise (see allocation()), and the budget is the number of rows. A
+    null source is a source of its own, ''. A null or negative n_chars counts as 0, of the smallest measure. doc_id may be
+    of any type that has an order. Null doc_ids share one u; repeated rows each take part, and ties go to the smaller
+    doc_id, null last. Texts, null or not, are not read. No rows give no rows; further columns are ignored.
     """
-    drawn = draws(docs.select("doc_id", "source", "n_chars"), weights, budget, seed).filter("__copies > 0")
-    return drawn.select("doc_id", F.coalesce("source", F.lit("")).alias("source"), F.col("__copies").alias("copies"))
+    drawn = _draws(docs.select("doc_id", "source", "n_chars"), weights, budget, seed, F.col("doc_id"))
+    return drawn.filter("copies > 0").select("doc_id", F.col("s").alias("source"), "copies")
 
 
-def mix_sources(docs: DataFrame, weights: dict[str, int] | None = None, budget: int | None = None, seed: str = SEED) -> DataFrame:
-    """The drawn rows of docs, each as often as drawn, with all its columns; drawn as in mixture()."""
-    drawn = draws(docs, weights, budget, seed).filter("__copies > 0")
-    return drawn.withColumn("__nth", F.explode(F.sequence(F.lit(1), F.col("__copies").cast("int")))).select(docs.columns)
+def mix_sources(docs: DataFrame, weights: dict[str, float] | None = None, budget: int | None = None, seed: str = SEED) -> DataFrame:
+    """The drawn rows of docs, each as often as drawn, with all its columns, whatever their names; drawn as in mixture().
+
+    Rows that tie in source, rank and doc_id at the border go by their text.
+    """
+    tuck, back = tucked(docs)
+    rows = docs.select(*tuck, "doc_id", "source", "n_chars")
+    tie = F.xxhash64(f"in_{docs.columns.index('text')}") if "text" in docs.columns else F.col("doc_id")
+    return repeated(_draws(rows, weights, budget, seed, tie).filter("copies > 0"), "copies").select(back)
 
 
 def op3_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
