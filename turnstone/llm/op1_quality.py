@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from turnstone.llm.common import cut, release, small, small_batches, table
+from turnstone.llm.common import cut, known_labels, release, small, small_batches, table, type_of
 from turnstone.llm.textbatch import CLASSES, U64, WORD, mix, slices, span_hashes, tokens
 
 #: Hashed dimensions of the n-grams; labelled rows of the fit, a bounded sample by hash of doc_id.
@@ -72,8 +72,7 @@ def indicators(data: np.ndarray, at: np.ndarray, bits: int) -> tuple[np.ndarray,
 
 def _labelled(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """(doc_id, quality, text), one line a labelled document: a null label is none, of several the largest counts."""
-    known = labels.filter("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.max("quality").cast("int").alias("quality"))
-    return docs.select("doc_id", "text").filter("text is not null").join(small(known), "doc_id")
+    return docs.select("doc_id", "text").filter("text is not null").join(small(known_labels(docs, labels)), "doc_id")
 
 
 def _counts(batches, bits: int):
@@ -179,12 +178,13 @@ def classify(docs: DataFrame, labels: DataFrame, **parameters) -> DataFrame:
     """(doc_id, score, keep) for every row of docs: keep is score >= threshold.
 
     The threshold is 0, or lower, where more than LOST of the labelled good documents score below 0. A null text has no
-    score and is not kept; an empty one has no indicators and scores the bias. Null doc_ids are scored like others and
+    score and is not kept; an empty one has no indicators and scores the bias. doc_id may be of any type; the labels' doc_ids
+    are taken as of the same, and those that can't be so count for nothing. Null doc_ids are scored like others and
     never labelled; repeated rows score the same. Labels of no document, and null labels, count for nothing. Other
     columns of either table are ignored; no rows give no rows. Whole texts count, of any length.
     """
     model = train(docs, labels, **parameters)
-    scored = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(lambda it: _scores(it, model, ["doc_id"]), "doc_id long, score double")
+    scored = docs.select("doc_id", "text").mapInArrow(lambda it: _scores(it, model, ["doc_id"]), f"doc_id {type_of(docs, 'doc_id')}, score double")
     return scored.withColumn("keep", F.coalesce(F.col("score") >= model.threshold, F.lit(False)))
 
 

@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from turnstone.llm.common import cut, release, small, small_batches, table
+from turnstone.llm.common import cut, known_labels, release, small, small_batches, table, type_of
 from turnstone.llm.textbatch import CLASSES, WORD, mix, reduce_by_doc, slices, span_hashes, tokens
 
 #: Trees, rows of a tree, labelled rows that trees are drawn from (by hash of doc_id), share of good documents to lose.
@@ -166,27 +166,29 @@ def _judge(batches, forest: Forest):
 def anomalies(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, lost: float = LOST) -> DataFrame:
     """(doc_id, score, keep) for every row of docs: keep is score <= threshold.
 
-    The forest grows on at most fit_rows labelled rows (all rows stand in, by the same bound, when none is labelled), good
-    and bad. The threshold is the score that parts labelled good from bad best (balanced accuracy), but no lower than the
-    score that loses a share `lost` of the good. Without both classes nothing is rejected. A null text has no score and
-    isn't kept; an empty one has all statistics 0. Null doc_ids are scored; repeated rows score the same; null labels
-    count for nothing. Other columns are ignored; no rows give no rows.
+    The forest grows on at most fit_rows labelled rows, good and bad. The threshold is the score that parts labelled good
+    from bad best (balanced accuracy), but no lower than the score that loses a share `lost` of the good. Where only one
+    class is labelled nothing is rejected; where no document is, there is no forest, and scores are null. A null text has
+    no score and isn't kept; an empty one has the statistics of what every text is taken to have besides its own
+    (word_length 5, distinct_words 1, else 0). doc_id may be of any type; the labels' doc_ids are taken as of the same, and
+    those that can't be so count for nothing. Null doc_ids are scored; repeated rows score the same; null labels count for
+    nothing. Other columns are ignored; no rows give no rows.
     """
     small_batches(docs.sparkSession)
-    measured = cut(docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(_measure, "doc_id long, rules array<double>, there boolean"))
-    known = labels.filter("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.max("quality").cast("int").alias("quality"))
+    kind = type_of(docs, "doc_id")
+    measured = cut(docs.select("doc_id", "text").mapInArrow(_measure, f"doc_id {kind}, rules array<double>, there boolean"))
+    known = cut(known_labels(docs, labels))
     labelled = measured.filter("there").join(small(known), "doc_id")
     order = [F.xxhash64("doc_id", F.lit(SEED)), "doc_id"]
-    n = labelled.count()
-    pool, size = (labelled, n) if n else (measured.filter("there"), measured.count())
-    share = int(min(1.0, 1.2 * fit_rows / max(size, 1)) * (1 << 20))
-    sample = pool.filter(F.pmod(order[0], F.lit(1 << 20)) < share).orderBy(*order).limit(fit_rows).select("rules").toPandas()
+    share = int(min(1.0, 1.2 * fit_rows / max(labelled.count(), 1)) * (1 << 20))
+    sample = labelled.filter(F.pmod(order[0], F.lit(1 << 20)) < share).orderBy(*order).limit(fit_rows).select("rules").toPandas()
     if not len(sample):
-        return measured.select("doc_id", F.lit(None).cast("double").alias("score"), "there").select("doc_id", "score", F.col("there").alias("keep"))
+        return measured.select("doc_id", F.lit(None).cast("double").alias("score"), F.col("there").alias("keep"))
     forest = grow(np.stack(sample.rules.to_numpy()))
-    scored = cut(measured.mapInArrow(lambda it: _judge(it, forest), "doc_id long, score double, there boolean"))
+    scored = cut(measured.mapInArrow(lambda it: _judge(it, forest), f"doc_id {kind}, score double, there boolean"))
     release(measured)
     found = scored.filter("there").join(small(known), "doc_id").groupBy(F.round(F.col("score") * 2000).cast("int").alias("at"), (F.col("quality") > 0).alias("good")).count().toPandas()
+    release(known)
     limit = threshold(found, lost)
     return scored.select("doc_id", F.when(F.col("there"), F.col("score")).alias("score"), (F.col("there") & (F.col("score") <= limit)).alias("keep"))
 
