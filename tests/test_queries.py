@@ -11,6 +11,7 @@ import duckdb
 import pytest
 
 import turnstone.plans.more_queries  # noqa: F401
+import turnstone.plans.parser_queries  # noqa: F401
 from turnstone.plans.queries import ORACLES, QUERIES
 
 DATA = "/root/testdata/sf0.001"

@@ -35,23 +35,24 @@ def changes(rows: DataFrame, value: str, key: str = "session_key", order: str =
     return known.withColumn("was", before).filter(F.col("was").isNotNull() & (F.col("was") != F.col(value)))
 
 
-def match_stack(rows: DataFrame, push: Column, pop: Column, key: str = "session_key", order: str = "line") -> DataFrame:
-    """Each pop takes the nearest push before it that no pop took yet; partner is its order, null for an orphan.
+def match_stack(rows: DataFrame, push: Column, pop: Column, key: str = "session_key", order: str = "line", peek: Column | None = None, value: str | None = None) -> DataFrame:
+    """Each pop takes the nearest push before it that no pop took yet; partner is its `value` (its order unless given),
+    null for an orphan. A peek finds the same push as a pop would, but leaves it.
 
     Nested matching as windows: with d the pushes less the pops so far and its running minimum, a pop that makes a new
     minimum is an orphan, and a push and its pop are neighbours on their level of the stack.
     """
     by = Window.partitionBy(key).orderBy(order)
     step = F.when(push, 1).when(pop, -1).otherwise(0)
-    marked = rows.withColumn("__push", push).withColumn("__pop", pop).withColumn("__d", F.sum(step).over(by.rowsBetween(*_SO_FAR)))
+    marked = rows.withColumn("__push", push).withColumn("__pop", pop).withColumn("__peek", F.lit(False) if peek is None else peek).withColumn("__d", F.sum(step).over(by.rowsBetween(*_SO_FAR)))
     marked = marked.withColumn("__low", F.least(F.lit(0), F.min("__d").over(by.rowsBetween(*_SO_FAR))))
     marked = marked.withColumn("__was", F.least(F.lit(0), F.coalesce(F.min("__d").over(by.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))))
-    marked = marked.withColumn("orphan", F.col("__pop") & (F.col("__d") < F.col("__was")))
     depth = F.col("__d") - F.col("__low")
-    marked = marked.withColumn("__level", F.when(F.col("__push"), depth).when(F.col("__pop") & ~F.col("orphan"), depth + 1))
+    marked = marked.withColumn("orphan", (F.col("__pop") & (F.col("__d") < F.col("__was"))) | (F.col("__peek") & (depth == 0)))
+    marked = marked.withColumn("__level", F.when(F.col("__push") | (F.col("__peek") & ~F.col("orphan")), depth).when(F.col("__pop") & ~F.col("orphan"), depth + 1))
     level = Window.partitionBy(key, "__level").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-    partner = F.when(F.col("__pop") & ~F.col("orphan"), F.last(F.when(F.col("__push"), F.col(order)), ignorenulls=True).over(level))
-    return marked.withColumn("partner", partner).drop("__push", "__pop", "__d", "__low", "__was", "__level")
+    partner = F.when((F.col("__pop") | F.col("__peek")) & ~F.col("orphan"), F.last(F.when(F.col("__push"), F.col(value or order)), ignorenulls=True).over(level))
+    return marked.withColumn("partner", partner).drop("__push", "__pop", "__peek", "__d", "__low", "__was", "__level")
 
 
 def drop_consumed_markers(rows: DataFrame, marker: str, consumer: str, key: str = "session_key", order: str = "line", kind: str = "kind") -> DataFrame:

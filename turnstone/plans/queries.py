@@ -377,7 +377,9 @@ def j3_pending_spans(spark, d):
     return rows.withColumn("holder", matching.next_holder(rows, F.col("role") == "assistant", F.col("line"))).filter("role <> 'assistant'").select("session_key", "line", "holder")
 
 
-@_query()
+@_query(f"""WITH {m.TIMELINE}, s AS (SELECT *, sum(CASE event_type WHEN 'view' THEN 1 WHEN 'click' THEN -1 ELSE 0 END) OVER (PARTITION BY session_key ORDER BY turn_index) AS depth FROM timeline),
+    p AS (SELECT c.session_key, c.turn_index, (SELECT max(q.turn_index) FROM s q WHERE q.session_key = c.session_key AND q.event_type = 'view' AND q.turn_index < c.turn_index AND q.depth = c.depth + 1) AS partner FROM s c WHERE c.event_type = 'click')
+    SELECT session_key, turn_index, partner IS NULL AS orphan, partner FROM p""")
 def j5_match_stack(spark, d):
     line = m.timeline(spark, d)
     return matching.match_stack(line, F.col("event_type") == "view", F.col("event_type") == "click", order="turn_index").filter("event_type = 'click'").select("session_key", "turn_index", "orphan", "partner")

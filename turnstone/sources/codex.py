@@ -76,17 +76,8 @@ def attach_counts(rows: DataFrame) -> DataFrame:
     rows: line, push (an assistant turn, with its turn_index), pop (a count that uses context) and peek (a count without:
     it writes to the same turn but leaves it free). A stack as windows, see matching.match_stack().
     """
-    by = Window.partitionBy("session_key").orderBy("line")
-    so_far = by.rowsBetween(Window.unboundedPreceding, 0)
-    step = F.when(F.col("push"), 1).when(F.col("pop"), -1).otherwise(0)
-    marked = rows.withColumn("d", F.sum(step).over(so_far)).withColumn("low", F.least(F.lit(0), F.min("d").over(so_far)))
-    marked = marked.withColumn("was", F.least(F.lit(0), F.coalesce(F.min("d").over(by.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))))
-    depth = F.col("d") - F.col("low")
-    orphan = (F.col("pop") & (F.col("d") < F.col("was"))) | (F.col("peek") & (depth == 0))
-    marked = marked.withColumn("level", F.when(F.col("push") | (F.col("peek") & ~orphan), depth).when(F.col("pop") & ~orphan, depth + 1))
-    level = Window.partitionBy("session_key", "level").orderBy("line").rowsBetween(Window.unboundedPreceding, -1)
-    target = F.when(F.col("level").isNotNull(), F.last(F.when(F.col("push"), F.col("turn_index")), ignorenulls=True).over(level))
-    return marked.withColumn("target", target).filter(F.col("pop") | F.col("peek")).select("session_key", "line", F.col("target").alias("turn_index"))
+    matched = matching.match_stack(rows, F.col("push"), F.col("pop"), peek=F.col("peek"), value="turn_index")
+    return matched.filter(F.col("pop") | F.col("peek")).select("session_key", "line", F.col("partner").alias("turn_index"))
 
 
 def parse(refs: DataFrame) -> Parsed:
@@ -104,15 +95,15 @@ def parse_records(parsed: DataFrame, refs: DataFrame, cut=tables.cut) -> Parsed:
     records = parsed.filter("v is not null").withColumn("p", j.at(v, "$.payload")).withColumn("at", j.instant(v, "$.timestamp"))
     is_type = lambda t: F.col("type") == t
     by = Window.partitionBy("session_key").orderBy("line")
-    so_far, before = by.rowsBetween(Window.unboundedPreceding, 0), by.rowsBetween(Window.unboundedPreceding, -1)
+    so_far = by.rowsBetween(Window.unboundedPreceding, 0)
     meta_first = F.min(F.when(is_type("session_meta"), F.col("line"))).over(Window.partitionBy("session_key"))
     # The model in force is that of the latest turn context, then that of the session, if it came before
-    own = F.last(F.when(is_type("turn_context"), j.filled(p, "$.model")), ignorenulls=True).over(so_far)
-    meta_model = F.last(F.when(is_type("session_meta") & (F.col("line") == F.col("meta_line")), j.filled(p, "$.model")), ignorenulls=True).over(so_far)
+    own = matching.last_known(F.when(is_type("turn_context"), j.filled(p, "$.model")))
+    meta_model = matching.last_known(F.when(is_type("session_meta") & (F.col("line") == F.col("meta_line")), j.filled(p, "$.model")))
     # The latest context, though its limit be null
-    context = F.last(F.when(is_type("turn_context"), F.struct(j.real(p, "$.truncation_policy.limit").alias("limit"))), ignorenulls=True).over(so_far)
+    context = matching.last_known(F.when(is_type("turn_context"), F.struct(j.real(p, "$.truncation_policy.limit").alias("limit"))))
     rows = records.withColumn("meta_line", meta_first).withColumn("model", F.coalesce(own, meta_model, F.lit("unknown"))).withColumn("limit", context["limit"])
-    rows = rows.withColumn("is_item", is_type("response_item") & _role(p).isNotNull()).withColumn("turns_before", F.coalesce(F.count_if("is_item").over(before), F.lit(0)))
+    rows = rows.withColumn("is_item", is_type("response_item") & _role(p).isNotNull()).withColumn("turns_before", F.coalesce(matching.seen_before(F.col("is_item")), F.lit(0)))
     rows = rows.withColumn("now", F.coalesce("at", F.last("at", ignorenulls=True).over(so_far), F.timestamp_seconds(F.lit(0))))
     rows = cut(rows)
     items = rows.filter("is_item").withColumn("turn_index", F.col("turns_before"))

@@ -118,12 +118,12 @@ def parse_lines(lines: DataFrame, refs: DataFrame, cut=tables.cut) -> Parsed:
     turn_role = F.when(role == "assistant", "assistant").when(role.isin("user", "toolResult", "bashExecution", "custom"), "user")
     walked = walked.withColumn("role", F.when((F.col("entry_type") == "message") & j.is_object(m), turn_role))
     by = Window.partitionBy("session_key").orderBy("step")
-    before, so_far = by.rowsBetween(Window.unboundedPreceding, -1), by.rowsBetween(Window.unboundedPreceding, 0)
+    before = by.rowsBetween(Window.unboundedPreceding, -1)
     in_a = F.col("layout") == "a"
     loose_text = lambda p: F.coalesce(j.text(v, p), j.dumped(j.at(v, p)), F.lit(""))
     says = F.when(F.col("role") == "assistant", j.text(m, "$.model")).when(in_a & (F.col("entry_type") == "model_change"), loose_text("$.modelId"))
-    walked = walked.withColumn("says", says).withColumn("model", F.coalesce(F.last("says", ignorenulls=True).over(so_far), F.lit(""))).withColumn("model_before", F.last("says", ignorenulls=True).over(before))
-    walked = walked.withColumn("turns_before", F.coalesce(F.count("role").over(before), F.lit(0)))
+    walked = walked.withColumn("says", says).withColumn("model", F.coalesce(matching.last_known(F.col("says"), order="step"), F.lit(""))).withColumn("model_before", F.last("says", ignorenulls=True).over(before))
+    walked = walked.withColumn("turns_before", F.coalesce(matching.seen_before(F.col("role").isNotNull(), order="step"), F.lit(0)))
     walked = walked.withColumn("own", F.when(F.col("role") == "assistant", F.col("turns_before")))
     walked = walked.withColumn("goes_to", F.coalesce("own", matching.next_holder(walked, F.col("role") == "assistant", F.col("own"), order=("step",))))
     entry_time = F.coalesce(j.instant(v, "$.timestamp"), F.timestamp_millis(j.real(v, "$.timestamp").cast("long")))
