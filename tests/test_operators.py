@@ -176,12 +176,44 @@ def test_engine_commands(spark, roots):
         e.resolve("ffffffff")
 
 
-def test_cli(spark, roots, tmp_path, capsys):
+def test_cli(spark, roots, tmp_path, capsys, monkeypatch):
     from turnstone.cli import main
 
+    monkeypatch.setenv("HOME", str(tmp_path / "home"))
+    monkeypatch.delenv("PI_AGENT_DIR", raising=False)
     flags = [f"--claude-root={roots['claude-code'][0]}"]
     assert main([*flags, "list"], spark) == 0 and make.UUIDS[0][:8] in capsys.readouterr().out
     assert main(["list"], spark) == 0 and main(["nonsense"], spark) == 1 and main([*flags, "cost", "nothing-here"], spark) == 1
     assert main([*flags, "diff", "--last", "5"], spark) == 2
     out = tmp_path / "r.html"
     assert main([*flags, "report", make.UUIDS[1], "-o", str(out)], spark) == 0 and out.read_text().startswith("<!doctype html>")
+
+
+def test_cli_usual_roots_files_and_dates(spark, roots, tmp_path, capsys, monkeypatch):
+    from pathlib import Path
+
+    from turnstone.cli import main, since
+
+    monkeypatch.setenv("HOME", str(tmp_path))
+    monkeypatch.setenv("PI_AGENT_DIR", str(tmp_path / "agent"))
+    assert main(["list"], spark) == 0 and capsys.readouterr().out.strip() == f"no sessions; checked {tmp_path}/.claude/projects, {tmp_path}/.codex/sessions, {tmp_path}/agent/sessions"
+    assert main(["cost", "--harness", "codex"], spark) == 1 and capsys.readouterr().err.strip() == f"no sessions; checked {tmp_path}/.codex/sessions"
+    # a file outside the roots, of each harness
+    files = {h: next(p for p in sorted(Path(roots[h][0]).rglob("*.jsonl")) if "subagents" not in p.parts) for h in roots}
+    for harness, path in files.items():
+        assert main(["cost", str(path)], spark) == 0 and main(["cost", "--harness", harness, str(path)], spark) == 0
+        other = "pi" if harness != "pi" else "codex"
+        capsys.readouterr()
+        assert main(["cost", "--harness", other, str(path)], spark) == 1 and f"a session of {harness}, not of {other}" in capsys.readouterr().err
+    assert main(["diff", str(files["codex"]), str(files["claude-code"])], spark) == 0
+    make.write(tmp_path / "x.jsonl", [{"a": 1}])
+    assert main(["cost", str(tmp_path / "x.jsonl")], spark) == 1 and main(["cost", str(tmp_path / "none.jsonl")], spark) == 1
+    # sessions at the usual places
+    make.claude_root(tmp_path / ".claude" / "projects")
+    make.codex_root(tmp_path / ".codex" / "sessions")
+    make.pi_root(tmp_path / "agent" / "sessions")
+    capsys.readouterr()
+    assert main(["list"], spark) == 0 and all(make.UUIDS[k][:8] in capsys_out for capsys_out in [capsys.readouterr().out] for k in range(5))
+    assert main(["list", "--since", "yesterday"], spark) == 1 and "--since must be a date" in capsys.readouterr().err
+    assert main(["list", "--since", "2999-01-01"], spark) == 0 and "no sessions" in capsys.readouterr().out
+    assert since("2026-03-01") == "2026-03-01T00:00:00+00:00" and since("2026-03-01T10:00:00Z").endswith("10:00:00+00:00")

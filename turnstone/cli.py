@@ -6,11 +6,28 @@ import argparse
 import json
 import os
 import sys
+from datetime import datetime, timezone
+from functools import reduce
 from pathlib import Path
 
 HARNESSES = ("claude-code", "codex", "pi")
 
 
+def default_roots() -> dict[str, list[str]]:
+    """Where each harness keeps its sessions unless a root is given."""
+    agent = os.environ.get("PI_AGENT_DIR") or Path.home() / ".pi" / "agent"
+    return {"claude-code": [str(Path.home() / ".claude" / "projects")], "codex": [str(Path.home() / ".codex" / "sessions")], "pi": [str(Path(agent) / "sessions")]}
+
+
+def since(value: str) -> str:
+    """A date or a time of ISO 8601, UTC unless it says otherwise; ValueError for anything else."""
+    try:
+        at = datetime.fromisoformat(value.strip())
+    except ValueError as e:
+        raise ValueError(f"--since must be a date or a time like 2026-03-01T10:00Z, not {value!r}") from e
+    return (at if at.tzinfo else at.replace(tzinfo=timezone.utc)).isoformat()
+
+
 def _parser() -> argparse.ArgumentParser:
     p = argparse.ArgumentParser(prog="turnstone")
     p.add_argument("--claude-root", action="append", default=[])
@@ -68,6 +85,8 @@ def main(argv: list[str] | None = None, spark=None) -> int:
     except SystemExit as e:
         return 0 if e.code in (0, None) else 1
     try:
+        if getattr(args, "since", None):
+            args.since = since(args.since)
         return _run(args, spark)
     except (LookupError, ValueError, OSError) as e:
         print(e, file=sys.stderr)
@@ -101,7 +120,9 @@ def _run(args, spark) -> int:
         if args.output:
             Path(args.output).write_text(html.trials_page(found))
         return 0
-    roots = {"claude-code": args.claude_root, "codex": args.codex_root, "pi": args.pi_root or [p for p in [os.environ.get("PI_AGENT_DIR")] if p]}
+    usual = default_roots()
+    roots = {h: given or usual[h] for h, given in zip(HARNESSES, (args.claude_root, args.codex_root, args.pi_root))}
+    checked = ", ".join(r for h in HARNESSES if getattr(args, "harness", None) in (None, h) for r in roots[h])
     snapshot = json.loads(Path(args.prices).read_text()) if args.prices else {}
     store = None if getattr(args, "no_cache", False) else args.store
     engine = Engine(spark, roots, prices.prices(spark, snapshot, cache=args.price_cache), store)
@@ -109,13 +130,13 @@ def _run(args, spark) -> int:
     def chosen(name):
         found = engine.resolve(name, args.harness) if name else engine.newest(args.harness, args.cwd)
         if found.isEmpty():
-            raise LookupError("no sessions below the given roots")
+            raise LookupError(f"no sessions; checked {checked}")
         return found
 
     show = lambda x, printed: print(text.as_json(x) if args.json else printed())
     if args.command == "list":
         rows = engine.list(args.harness, args.cwd, args.since, args.subagents)
-        show(rows, lambda: text.listing(rows, args.limit))
+        show(rows, lambda: text.listing(rows, args.limit) if not rows.isEmpty() else f"no sessions; checked {checked}")
     elif args.command == "cost":
         report = engine.cost_all(args.harness, args.cwd, args.since) if args.all else engine.cost(chosen(args.session))
         show(report, lambda: text.cost(report, args.by))
@@ -141,7 +162,7 @@ def _run(args, spark) -> int:
                 raise ValueError("two sessions are needed")
             found = [engine.resolve(s, args.harness) for s in args.session]
             keys = [f.first()["path"] for f in found]
-            refs = engine.refs.filter(F.col("path").isin(keys))
+            refs = reduce(lambda a, b: a.unionByName(b), found).dropDuplicates(["path"])
         # parsers key sessions by the path as Spark reports it
         report = engine.diff(refs, keys[0], keys[1:])
         if args.command == "report":

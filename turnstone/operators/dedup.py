@@ -26,7 +26,12 @@ def total_tokens() -> Column:
 
 
 def _keyed(turns: DataFrame) -> DataFrame:
-    return turns.repartition("session_key").withColumn("__eligible", eligible())
+    """By session, with __slot: null for eligible turns, its own for each other, which so is a group of one below."""
+    return turns.repartition("session_key").withColumn("__eligible", eligible()).withColumn("__slot", F.when(~F.col("__eligible"), F.col("turn_index")))
+
+
+def _with_slot(turns: DataFrame, *keys: str) -> list[str]:
+    return [*keys, *[c for c in ("__slot",) if c in turns.columns]]
 
 
 def merge_fragments(turns: DataFrame) -> DataFrame:
@@ -34,20 +39,21 @@ def merge_fragments(turns: DataFrame) -> DataFrame:
 
     Fragments of equal counters keep the first one's usage, else that of the largest (the earliest of equals).
     """
-    rest = [c for c in turns.columns if c not in (*USAGE, "session_key", "message_id", "request_id", "turn_index", "__eligible")]
+    keys = _with_slot(turns, "session_key", "message_id", "request_id")
+    rest = [c for c in turns.columns if c not in (*USAGE, *keys, "turn_index", "__eligible")]
     usage = F.struct(*USAGE)
     order = F.struct(total_tokens().alias("t"), (-F.col("turn_index")).alias("i"))
     alike = None
     for c in COUNTERS:
         one = F.min(c) == F.max(c)
         alike = one if alike is None else alike & one
-    grouped = turns.groupBy("session_key", "message_id", "request_id").agg(
+    grouped = turns.groupBy(*keys).agg(
         F.min("turn_index").alias("first_index"),
         F.count(F.lit(1)).alias("fragments"),
         F.min_by(F.struct(*rest), "turn_index").alias("first"),
         F.when(alike, F.min_by(usage, "turn_index")).otherwise(F.max_by(usage, order)).alias("usage"),
     )
-    return grouped.select("session_key", "message_id", "request_id", "first_index", "fragments", *[F.col(f"first.{c}") for c in rest], *[F.col(f"usage.{c}") for c in USAGE])
+    return grouped.select(*keys, "first_index", "fragments", *[F.col(f"first.{c}") for c in rest], *[F.col(f"usage.{c}") for c in USAGE])
 
 
 def pick_replay(merged: DataFrame) -> DataFrame:
@@ -55,25 +61,22 @@ def pick_replay(merged: DataFrame) -> DataFrame:
 
     anchor is the place of the earliest, winner the surviving request.
     """
-    message = Window.partitionBy("session_key", "message_id")
+    message = Window.partitionBy(*_with_slot(merged, "session_key", "message_id"))
     best = message.orderBy(F.col("is_sidechain"), total_tokens().desc(), "first_index")
     return merged.withColumn("anchor", F.min("first_index").over(message)).withColumn("winner", F.row_number().over(best) == 1)
 
 
 def dedup_turns(turns: DataFrame) -> DataFrame:
-    """The surviving turns at compacted places; turn_index is the new one, anchor the old."""
-    keyed = _keyed(turns)
-    chosen = pick_replay(merge_fragments(keyed.filter("__eligible"))).filter("winner")
-    names = [c for c in turns.columns if c != "turn_index"]
-    rows = chosen.select(*names, "anchor").unionByName(keyed.filter(~F.col("__eligible")).select(*names, F.col("turn_index").alias("anchor")))
+    """The surviving turns at compacted places; turn_index is the new one, anchor the old. One scan, one exchange."""
+    chosen = pick_replay(merge_fragments(_keyed(turns))).filter("winner")
     place = F.row_number().over(Window.partitionBy("session_key").orderBy("anchor")) - 1
-    return rows.withColumn("turn_index", place.cast("long"))
+    return chosen.select(*[c for c in turns.columns if c != "turn_index"], "anchor").withColumn("turn_index", place.cast("long"))
 
 
 def index_map(turns: DataFrame) -> DataFrame:
     """(session_key, old_index, new_index, survives): where each turn went, and whether its content stays."""
     keyed = _keyed(turns)
-    groups = pick_replay(merge_fragments(keyed.filter("__eligible"))).select("session_key", "message_id", "request_id", "anchor", "winner")
+    groups = pick_replay(merge_fragments(keyed.filter("__eligible").drop("__slot"))).select("session_key", "message_id", "request_id", "anchor", "winner")
     placed = keyed.select("session_key", "turn_index", "message_id", "request_id", "__eligible").join(groups, ["session_key", "message_id", "request_id"], "left")
     mine = F.col("__eligible") & F.col("anchor").isNotNull()
     placed = placed.select("session_key", F.col("turn_index").alias("old_index"), F.when(mine, F.col("anchor")).otherwise(F.col("turn_index")).alias("slot"), F.when(mine, F.col("winner")).otherwise(F.lit(True)).alias("survives"))
@@ -96,8 +99,10 @@ def remap_events(events: DataFrame, mapped: DataFrame) -> DataFrame:
     return joined.withColumn("turn_index", F.coalesce("new_index", at_end, "turn_index")).select(events.columns)
 
 
-def _replay_rank() -> Column:
-    return F.row_number().over(Window.partitionBy("family_id", "message_id").orderBy("member_ordinal", "turn_index"))
+def _replayed() -> Column:
+    """Whether an eligible turn's message came before in its family. Turns that aren't eligible are each a group of one."""
+    slot = F.when(~eligible(), F.struct("session_key", "turn_index"))
+    return eligible() & (F.row_number().over(Window.partitionBy("family_id", "message_id", slot).orderBy("member_ordinal", "turn_index")) > 1)
 
 
 def zero_family_replays(turns: DataFrame) -> DataFrame:
@@ -105,8 +110,7 @@ def zero_family_replays(turns: DataFrame) -> DataFrame:
 
     Goes by the message id alone, also within one member; turns that aren't eligible are left as they are.
     """
-    marked = turns.withColumn("__eligible", eligible())
-    again = marked.filter("__eligible").withColumn("__again", _replay_rank() > 1).unionByName(marked.filter(~F.col("__eligible")).withColumn("__again", F.lit(False)))
+    again = turns.withColumn("__again", _replayed())
     for c in (*COUNTERS, "context_total"):
         again = again.withColumn(c, F.when(F.col("__again"), F.lit(0).cast("long")).otherwise(F.col(c)))
     if "cost" in turns.columns:
@@ -116,6 +120,4 @@ def zero_family_replays(turns: DataFrame) -> DataFrame:
 
 def drop_family_replays(turns: DataFrame) -> DataFrame:
     """As D6, but replayed turns go; for merging attributions over sessions."""
-    marked = turns.withColumn("__eligible", eligible())
-    first = marked.filter("__eligible").withColumn("__rn", _replay_rank()).filter("__rn = 1").drop("__rn")
-    return first.unionByName(marked.filter(~F.col("__eligible"))).drop("__eligible")
+    return turns.withColumn("__again", _replayed()).filter("not __again").drop("__again")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from turnstone.operators import attribution, compaction, compare, composition, dashboard, dedup, diff, pricing
 from turnstone.plans import tables
-from turnstone.sources import claude, codex, discover, pi
+from turnstone.sources import claude, codex, discover, lines, pi
 from turnstone.sources.model import Parsed
 from turnstone.store.totals import TotalsStore, build, hits, misses
 
@@ -39,7 +39,16 @@ class Engine:
         return out
 
     def resolve(self, wanted: str, harness: str | None = None) -> DataFrame:
-        """By path, id, or an unambiguous beginning of one (6 characters or more)."""
+        """An existing file, inside the roots or not, whose first line says whose it is; else by the end of a
+        path, by id, or by an unambiguous beginning of one (6 characters or more)."""
+        file = discover.one_file(self.spark, wanted) if "/" in wanted or wanted.endswith(".jsonl") else None
+        if file is not None:
+            of = lines.sniff(lines.read_lines(file)).first()
+            if of is None or of["harness"] is None:
+                raise LookupError(f"{wanted}: no session of a known layout")
+            if harness and of["harness"] != harness:
+                raise LookupError(f"{wanted}: a session of {of['harness']}, not of {harness}")
+            return file.withColumn("harness", F.lit(of["harness"]))
         refs = discover.filtered(self.refs, harness, subagents=True)
         found = refs.filter(F.col("path").endswith(wanted)) if "/" in wanted else diff.resolve_id(refs, wanted)
         n = found.count()

@@ -34,6 +34,22 @@ def listing(spark: SparkSession, roots: list[str], glob: str = "*.jsonl") -> Dat
     return out if out is not None else spark.createDataFrame([], "path string, root string, mtime timestamp, size_bytes long")
 
 
+def one_file(spark: SparkSession, path: str) -> DataFrame | None:
+    """The ref of an existing file, wherever it lies, with a null harness; None for anything but a file."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    system = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not system.exists(where) or not system.getFileStatus(where).isFile():
+        return None
+    files = spark.read.format("binaryFile").load(system.makeQualified(where).toString())
+    null, stem = F.lit(None).cast("string"), F.regexp_extract("path", r"([^/]+?)(?:\.jsonl)?$", 1)
+    found = F.regexp_extract(stem, f"({_UUID})$", 1)
+    child = F.regexp_extract("path", r"([^/]+)/subagents/(?:.*/)?agent-[^/]*$", 1)
+    return files.select(
+        null.alias("harness"), F.when(found != "", found).otherwise(stem).alias("session_id"), "path", F.when(child != "", "subagent").otherwise("main").alias("kind"),
+        F.when(child != "", child).alias("parent_id"), null.alias("cwd"), F.col("modificationTime").alias("mtime"), F.col("length").alias("size_bytes"),
+    )
+
+
 def _inner(files: DataFrame) -> DataFrame:
     """inner: the path below its root."""
     return files.withColumn("inner", F.expr("substring(path, length(root) + 2)"))
