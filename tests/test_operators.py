@@ -77,6 +77,18 @@ def test_j8_paths_with_cycles_gaps_and_depth(spark):
     assert got == [("c", "a", 1), ("c", "b", 2), ("c", "z", 0), ("g", "x", 0)] and path.filter("session_key = 'd' and up = 299 - cast(id as int)").count() == 300
 
 
+def test_j8_walks_in_one_written_table_and_doubles_what_is_large(spark, monkeypatch):
+    entries = spark.createDataFrame([("d", str(k), str(k - 1) if k else None) for k in range(300)] + [("c", "a", "b"), ("c", "b", "a")], "session_key string, id string, parent_id string")
+    leaves = spark.createDataFrame([("d", "299"), ("d", "100"), ("c", "a")], "session_key string, id string")
+    written = []
+    cut = lambda df: written.append(df) or tables.cut(df)
+    once = tree.paths_to_root(entries, leaves, cut).collect()
+    assert len(written) == 1 and len(once) == 302 and max(r["up"] for r in once) == 198
+    monkeypatch.setattr(tree, "WALKED", 1000)
+    both = tree.paths_to_root(entries, leaves, cut).collect()
+    assert len(written) > 5 and sorted(both) == sorted(once)
+
+
 def test_a20_a21_medians(spark):
     rows = [("t", "a", w, p, True, True, 5, 0.1, 1, k) for k, (w, p) in enumerate([(10000, True), (20000, True), (30000, False), (40000, True)])] + [("t", "b", 1, True, False, False, None, None, None, 9), ("u", "a", 1, True, True, False, 7, 1.0, 2, 10)]
     df = spark.createDataFrame(rows, "task_name string, config_name string, wall_ms long, passed boolean, has_totals boolean, priced boolean, context_total long, cost double, compactions long, row_no long")

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from tests import make
 from turnstone.operators import composition, dedup
+from turnstone.plans.tables import cut as lines_cut
 from turnstone.sources import claude, codex, discover, lines, pi, prices, trials
 
 
@@ -166,3 +167,15 @@ def test_trials_reader(spark, tmp_path):
     got, warnings = trials.read_results(spark, path)
     (r,) = got.collect()
     assert (r["passed"], r["has_totals"], r["context_total"], r["cost"]) == (True, True, 9, 0.5) and warnings.count() == 1
+
+
+def test_pi_contents_stay_out_of_entries_and_walk(spark):
+    """Only parsed lines hold VARIANT: what is written of entries, pointers and walked entries is narrow."""
+    raw = ['{"type":"session","id":"x","timestamp":"2026-01-01T00:00:00Z","cwd":"/w"}', '\t{"id":"a","parentId":null,"timestamp":"2026-01-01T00:00:00Z","type":"message","message":{"role":"user","content":"hi"}}', "[1]", '{"id":"b","parentId":"a","timestamp":"2026-01-01T00:00:00Z","type":"message","message":{"role":"assistant","content":"no list"}}']
+    given = spark.createDataFrame([("s", k + 1, r) for k, r in enumerate(raw)], "session_key string, line long, raw string")
+    refs = spark.createDataFrame([("pi", "s", "s", "main", None, None, None, 1)], "harness string, session_id string, path string, kind string, parent_id string, cwd string, mtime timestamp, size_bytes long")
+    written = []
+    p = pi.parse_lines(given, refs, lambda df: written.append(df) or lines_cut(df))
+    assert sum("variant" in dict(df.dtypes).values() for df in written) == 1 and len(written) == 4
+    assert [(r["turn_index"], r["role"], r["input_uncached"], r["context_total"], r["logged_cost"]) for r in p.turns.orderBy("turn_index").collect()] == [(0, "user", 0, 0, None), (1, "assistant", 0, 0, None)]
+    assert [(r["turn_index"], r["text"]) for r in p.spans.collect()] == [(1, "hi")] and codes(p) == [("pi-malformed-entry", 3)]

@@ -36,7 +36,7 @@ def filled(v: Column, path: str) -> Column:
 def real(v: Column, path: str) -> Column:
     """A finite number; a numeric string is none."""
     number = F.when(kind(v, path).rlike("^(BIGINT|DECIMAL|DOUBLE|FLOAT)"), F.try_variant_get(v, path, "double"))
-    return F.when(~F.isnan(number) & (F.abs(number) < float("inf")), number)
+    return F.when(F.abs(number) < float("inf"), number)  # NaN is above it
 
 
 def number(v: Column, path: str) -> Column:
@@ -51,7 +51,7 @@ def flag(v: Column, path: str) -> Column:
 
 def items(v: Column, path: str) -> Column:
     """An array of variants, in order; null for anything else."""
-    return F.when(is_array(v, path), F.try_variant_get(v, path, "array<variant>"))
+    return F.try_variant_get(v, path, "array<variant>")
 
 
 def dumped(v: Column) -> Column:

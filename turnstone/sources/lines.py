@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from turnstone.functions import json as j
@@ -24,10 +24,14 @@ def read_lines(refs: DataFrame) -> DataFrame:
     return rows.select("session_key", (F.col("pos") + 1).cast("long").alias("line"), "raw").filter(F.trim(F.regexp_replace("raw", r"[\s﻿]+", " ")) != "")
 
 
+def object_of(raw: Column) -> Column:
+    """The object that a line is, as VARIANT; null for other JSON and for none. The schema of a whole line isn't made for it."""
+    return F.when(raw.rlike(r"^\s*\{"), F.try_parse_json(F.trim(raw)))
+
+
 def parse_lines(lines: DataFrame) -> DataFrame:
     """Adds v, the object of the line, null where it is none, and type, '' where it has none."""
-    parsed = lines.withColumn("v", F.try_parse_json(F.trim("raw")))
-    parsed = parsed.withColumn("v", F.when(j.is_object(F.col("v")), F.col("v"))).drop("raw")
+    parsed = lines.withColumn("v", object_of(F.col("raw"))).drop("raw")
     return parsed.withColumn("type", F.coalesce(j.text(F.col("v"), "$.type"), F.lit("")))
 
 

@@ -9,7 +9,7 @@ from turnstone.functions import json as j
 from turnstone.functions.text import utf16_length
 from turnstone.operators import compaction, matching, tree
 from turnstone.plans import tables
-from turnstone.sources.lines import read_lines
+from turnstone.sources.lines import object_of, read_lines
 from turnstone.sources.model import Parsed, finished
 
 KNOWN = "branch_summary compaction custom custom_message label message model_change session_info thinking_level_change".split()
@@ -82,11 +82,20 @@ def parse(refs: DataFrame) -> Parsed:
 def parse_lines(lines: DataFrame, refs: DataFrame, cut=tables.cut) -> Parsed:
     """Sessions of both layouts; which one a file has, its first line says. Lines are numbered without blank ones.
 
-    Parsed lines and the walked entries are written: the walk is iterative, and all relations read them.
+    Parsed lines, entries and the walked entries are written, since all relations read them. What is narrow is taken from a
+    line where it is parsed; contents go by session only to the relations that have them.
     """
     v = F.col("v")
     nth = F.row_number().over(Window.partitionBy("session_key").orderBy("line"))
-    rows = lines.withColumn("nth", nth.cast("long")).withColumn("v", F.try_parse_json(F.trim("raw"))).withColumn("v", F.when(j.is_object(v), v)).drop("raw", "line").withColumnRenamed("nth", "line")
+    loose_text = lambda p: F.coalesce(j.text(v, p), j.dumped(j.at(v, p)), F.lit(""))
+    rows = lines.select("session_key", nth.cast("long").alias("line"), object_of(F.col("raw")).alias("v"))
+    rows = rows.withColumns({"id": j.text(v, "$.id"), "entry_type": j.text(v, "$.type"), "parent_id": j.text(v, "$.parentId"), "said_role": j.text(v, "$.message.role")})
+    assistant = (F.col("entry_type") == "message") & (F.col("said_role") == "assistant")
+    rows = rows.withColumn("used", F.when(assistant, j.at(v, "$.message.usage"))).withColumns({
+        "there": v.isNotNull(), "parent_fits": F.col("parent_id").isNotNull() | (j.at(v, "$.parentId").isNotNull() & F.coalesce(j.kind(v, "$.parentId"), F.lit("VOID")).isin("VOID", "STRING")), "kind": j.text(v, "$.kind"), "stamp": j.text(v, "$.timestamp"), "ms": j.real(v, "$.timestamp"),
+        "said_model": F.when(assistant, j.text(v, "$.message.model")), "model_id": F.when(F.col("entry_type") == "model_change", loose_text("$.modelId")), "said_ms": F.when(F.col("entry_type") == "message", j.real(v, "$.message.timestamp")),
+        "u": F.when(F.col("used").isNotNull(), usage(F.col("used"))), "paid": display_cost(F.col("used")),
+    }).drop("used")
     rows = cut(rows)
     head = rows.filter("line = 1").select("session_key", F.col("v").alias("h"))
     h = F.col("h")
@@ -95,17 +104,14 @@ def parse_lines(lines: DataFrame, refs: DataFrame, cut=tables.cut) -> Parsed:
     head = head.withColumn("layout", F.when(layout_b, "b").when(sound, "a"))
     keyed = rows.filter("line > 1").join(head.select("session_key", "layout"), "session_key")
     # Entries with what they need
-    parent_there = j.at(v, "$.parentId").isNotNull()
-    parent_fits = F.coalesce(j.kind(v, "$.parentId"), F.lit("VOID")).isin("VOID", "STRING")
-    named = j.text(v, "$.id").isNotNull() & j.text(v, "$.type").isNotNull() & parent_there & parent_fits
-    entry_a = (F.col("layout") == "a") & F.coalesce(named & j.text(v, "$.timestamp").isNotNull(), F.lit(False))
-    kind = F.when(j.kind(v, "$.kind") == "STRING", j.text(v, "$.kind"))
+    named = F.col("id").isNotNull() & F.col("entry_type").isNotNull() & F.col("parent_fits")
+    entry_a = (F.col("layout") == "a") & F.coalesce(named & F.col("stamp").isNotNull(), F.lit(False))
     is_b = F.col("layout") == "b"
-    entry_b = is_b & F.coalesce((kind == "entry") & named & j.real(v, "$.timestamp").isNotNull(), F.lit(False))
-    keyed = keyed.withColumn("is_entry", entry_a | entry_b).withColumn("kind", kind).withColumn("entry_type", j.text(v, "$.type"))
-    valid = keyed.filter("is_entry").select("session_key", "layout", j.text(v, "$.id").alias("id"), "line", F.struct("line", "entry_type", "v", j.text(v, "$.parentId").alias("parent_id")).alias("x"))
+    entry_b = is_b & F.coalesce((F.col("kind") == "entry") & named & F.col("ms").isNotNull(), F.lit(False))
+    keyed = keyed.withColumn("is_entry", entry_a | entry_b)
     # a repeated id has its last value at its first place
-    entries = cut(valid.groupBy("session_key", "layout", "id").agg(F.max_by("x", "line").alias("x"), F.min("line").alias("place")).select("session_key", "layout", "id", "place", "x.entry_type", "x.v", "x.parent_id"))
+    held = F.struct("line", "parent_id", "entry_type", "said_role", "stamp", "ms", "said_model", "model_id", "said_ms", "u", "paid")
+    entries = cut(keyed.filter("is_entry").groupBy("session_key", "layout", "id").agg(F.max_by(held, "line").alias("x"), F.min("line").alias("place")).select("session_key", "layout", "id", "place", "x.*"))
     seq = F.coalesce(j.real(v, "$.seq"), F.col("line").cast("double"))
     moves = keyed.filter(is_b & (F.col("kind") == "lane") & j.text(v, "$.laneId").isNotNull() & j.text(v, "$.entryId").isNotNull()).select("session_key", j.text(v, "$.laneId").alias("lane_id"), j.text(v, "$.entryId").alias("entry_id"), seq.alias("seq"), "line")
     lanes = tree.active_lane(moves)
@@ -113,38 +119,37 @@ def parse_lines(lines: DataFrame, refs: DataFrame, cut=tables.cut) -> Parsed:
     path = tree.paths_to_root(entries.select("session_key", "id", "parent_id"), leaves, cut)
     walked = entries.join(path, ["session_key", "id"]).withColumn("step", -F.col("up"))
     # turns
-    m = j.at(v, "$.message")
-    role = j.text(m, "$.role")
+    role = F.col("said_role")
     turn_role = F.when(role == "assistant", "assistant").when(role.isin("user", "toolResult", "bashExecution", "custom"), "user")
-    walked = walked.withColumn("role", F.when((F.col("entry_type") == "message") & j.is_object(m), turn_role))
+    walked = walked.withColumn("role", F.when(F.col("entry_type") == "message", turn_role))
     by = Window.partitionBy("session_key").orderBy("step")
     before = by.rowsBetween(Window.unboundedPreceding, -1)
     in_a = F.col("layout") == "a"
-    loose_text = lambda p: F.coalesce(j.text(v, p), j.dumped(j.at(v, p)), F.lit(""))
-    says = F.when(F.col("role") == "assistant", j.text(m, "$.model")).when(in_a & (F.col("entry_type") == "model_change"), loose_text("$.modelId"))
+    says = F.when(F.col("role") == "assistant", F.col("said_model")).when(in_a & (F.col("entry_type") == "model_change"), F.col("model_id"))
     walked = walked.withColumn("says", says).withColumn("model", F.coalesce(matching.last_known(F.col("says"), order="step"), F.lit(""))).withColumn("model_before", F.last("says", ignorenulls=True).over(before))
     walked = walked.withColumn("turns_before", F.coalesce(matching.seen_before(F.col("role").isNotNull(), order="step"), F.lit(0)))
     walked = walked.withColumn("own", F.when(F.col("role") == "assistant", F.col("turns_before")))
     walked = walked.withColumn("goes_to", F.coalesce("own", matching.next_holder(walked, F.col("role") == "assistant", F.col("own"), order=("step",))))
-    entry_time = F.coalesce(j.instant(v, "$.timestamp"), F.timestamp_millis(j.real(v, "$.timestamp").cast("long")))
+    entry_time = F.coalesce(F.try_to_timestamp("stamp"), F.timestamp_millis(F.col("ms").cast("long")))
     walked = walked.withColumn("entry_at", entry_time)
     walked = cut(walked)
-    u = F.when(F.col("role") == "assistant", j.at(m, "$.usage"))
-    counted = walked.filter("role is not null").withColumn("u", usage(u)).withColumn("paid", display_cost(u))
-    turns = counted.select(
-        "session_key", F.col("turns_before").alias("turn_index"), F.col("place").alias("src_line"), "role", "model", F.coalesce(F.timestamp_millis(j.real(m, "$.timestamp").cast("long")), "entry_at").alias("ts"), F.lit(False).alias("is_sidechain"), F.lit(False).alias("is_api_error"),
-        "u.*", (F.col("u.input_uncached") + F.col("u.cache_read") + F.col("u.cache_write_5m") + F.col("u.cache_write_1h")).alias("context_total"), F.col("paid").alias("logged_cost"),
+    contents = lambda df, those: df.join(rows.filter(those).select("session_key", "line", "v"), ["session_key", "line"])
+    turns = walked.filter("role is not null").select(
+        "session_key", F.col("turns_before").alias("turn_index"), F.col("place").alias("src_line"), "role", "model", F.coalesce(F.timestamp_millis(F.col("said_ms").cast("long")), "entry_at").alias("ts"), F.lit(False).alias("is_sidechain"), F.lit(False).alias("is_api_error"),
+        *[F.coalesce(f"u.{c}", F.lit(0).cast("long")).alias(c) for c in ("input_uncached", "cache_read", "cache_write_5m", "cache_write_1h", "output")], "u.reasoning_output", F.coalesce(F.col("u.input_uncached") + F.col("u.cache_read") + F.col("u.cache_write_5m") + F.col("u.cache_write_1h"), F.lit(0)).alias("context_total"), F.col("paid").alias("logged_cost"),
     )
     own_type = F.when((F.col("entry_type") == "message") & F.col("role").isNotNull(), "message").when((F.col("entry_type") == "compaction") | (in_a & (F.col("entry_type") == "custom_message")), F.col("entry_type"))
-    spread = walked.select("session_key", "layout", "step", "goes_to", F.posexplode(spans_of(v, own_type)).alias("pos", "s")).select("session_key", "layout", "step", "goes_to", "pos", "s.*")
+    speaking = walked.select("session_key", "line", "layout", "step", "goes_to", own_type.alias("own_type")).filter("own_type is not null")
+    spread = contents(speaking, F.col("entry_type").isin("message", "compaction", "custom_message"))
+    spread = spread.select("session_key", "layout", "step", "goes_to", F.posexplode(spans_of(v, F.col("own_type"))).alias("pos", "s")).select("session_key", "layout", "step", "goes_to", "pos", "s.*")
     order = F.row_number().over(Window.partitionBy("session_key", "goes_to").orderBy("step", "pos")) - 1
     spans = spread.filter("goes_to is not null").withColumn("ord", order).withColumnRenamed("goes_to", "turn_index")
     summary = F.coalesce(j.text(v, "$.summary"), F.lit(""))
-    compactions = walked.filter("entry_type = 'compaction'").select(
+    compactions = contents(walked.filter("entry_type = 'compaction'"), "entry_type = 'compaction'").select(
         "session_key", (F.col("step") + F.max("up").over(Window.partitionBy("session_key"))).alias("ord"), F.col("entry_at").alias("at"), F.col("turns_before").alias("turn_index"), j.real(v, "$.tokensBefore").cast("long").alias("tokens_before"),
         compaction.summary_estimate(utf16_length(summary)).alias("summary_tokens_est"), display_cost(j.at(v, "$.usage")).alias("cost"),
     )
-    levels = walked.filter(in_a & (F.col("entry_type") == "thinking_level_change")).withColumn("now", loose_text("$.thinkingLevel"))
+    levels = contents(walked.filter(in_a & (F.col("entry_type") == "thinking_level_change")), "entry_type = 'thinking_level_change'").withColumn("now", loose_text("$.thinkingLevel"))
     level_events = levels.select("session_key", F.lit("modeChange").alias("kind"), F.col("entry_at").alias("at"), F.lit("thinkingLevel").alias("field"), F.lag("now").over(by).alias("was"), "now")
     models = walked.filter(in_a & (F.col("entry_type") == "model_change")).select("session_key", F.lit("modeChange").alias("kind"), F.col("entry_at").alias("at"), F.lit("model").alias("field"), F.nullif("model_before", F.lit("")).alias("was"), F.col("says").alias("now"))
     last = walked.groupBy("session_key").agg(F.max_by("entry_at", "step").alias("last_at"), F.max_by("model", "step").alias("model"))
@@ -169,10 +174,10 @@ def parse_lines(lines: DataFrame, refs: DataFrame, cut=tables.cut) -> Parsed:
     trailing = spread.filter("goes_to is null").select("session_key", "layout").distinct()
     out = add(trailing, F.when(F.col("layout") == "a", "pi-trailing-content-unattached").otherwise("pi-systemb-trailing-content-unattached"), "content after the last assistant turn", line=None)
     b_rows = keyed.filter("layout = 'b'")
-    out = add(b_rows.filter("v is null"), "pi-systemb-malformed-line", "no JSON object")
+    out = add(b_rows.filter("not there"), "pi-systemb-malformed-line", "no JSON object")
     out = add(b_rows.filter("kind = 'entry' and not is_entry"), "pi-systemb-malformed-entry", "an entry lacks what it needs", record_type="entry_type")
     out = add(b_rows.filter((F.col("kind") == "lane") & (j.text(v, "$.laneId").isNull() | j.text(v, "$.entryId").isNull())), "pi-systemb-malformed-lane", "a lane lacks what it needs")
-    out = add(b_rows.filter(F.col("v").isNotNull() & ~F.coalesce(F.col("kind"), F.lit("")).isin("entry", "lane", "record", "fact")), "pi-systemb-unknown-kind", "unknown kind of mutation", record_type="kind")
+    out = add(b_rows.filter(F.col("there") & ~F.coalesce(F.col("kind"), F.lit("")).isin("entry", "lane", "record", "fact")), "pi-systemb-unknown-kind", "unknown kind of mutation", record_type="kind")
     out = add(lanes.filter("others > 0"), "pi-systemb-multiple-lanes", "other lanes are ignored", line=None)
     b_walked = walked.filter("layout = 'b'")
     out = add(b_walked.filter("entry_type = 'compaction'"), "pi-systemb-compaction-retained-tail", "what a compaction retained isn't replayed", line=None)
