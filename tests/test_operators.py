@@ -8,6 +8,7 @@ from turnstone.functions import text as t
 from turnstone.operators import compaction, compare, dashboard, diff, matching, pricing, tree
 from turnstone.plans import tables
 from turnstone.plans.engine import Engine
+from turnstone.plans.queries import QUERIES
 from turnstone.render import fmt
 from turnstone.sources import prices
 from turnstone.store.totals import valid
@@ -89,6 +90,12 @@ def test_j8_walks_in_one_written_table_and_doubles_what_is_large(spark, monkeypa
     assert len(written) > 5 and sorted(both) == sorted(once)
 
 
+@pytest.mark.parametrize("name", ["c7_modes"])
+def test_priced_turns_are_computed_once(spark, name):
+    plan = QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert sum("Relation [l_orderkey" in line for line in plan.splitlines()) == 1
+
+
 def test_a20_a21_medians(spark):
     rows = [("t", "a", w, p, True, True, 5, 0.1, 1, k) for k, (w, p) in enumerate([(10000, True), (20000, True), (30000, False), (40000, True)])] + [("t", "b", 1, True, False, False, None, None, None, 9), ("u", "a", 1, True, True, False, 7, 1.0, 2, 10)]
     df = spark.createDataFrame(rows, "task_name string, config_name string, wall_ms long, passed boolean, has_totals boolean, priced boolean, context_total long, cost double, compactions long, row_no long")

@@ -27,13 +27,14 @@ def provider_family(model: Column) -> Column:
     return F.when(bare.rlike("(?i)^claude"), "marginal").when(bare.rlike("(?i)^(gpt|o|codex)"), "whole").otherwise("none")
 
 
-def match_prices(turns: DataFrame, prices: DataFrame) -> DataFrame:
+def match_prices(turns: DataFrame, prices: DataFrame, models: DataFrame | None = None) -> DataFrame:
     """Turns with the rates of their model, null where it has none: tier by tier, then key by key.
 
     Only the distinct models are looked up; how many there are doesn't grow with the turns, and Spark broadcasts the
-    result by its measured size.
+    result by its measured size. Without `models`, which names them all (and maybe more), they are found by computing the
+    turns once more.
     """
-    tried = turns.select("model").distinct().select("model", F.posexplode(candidates(F.col("model"))).alias("rank", "model_key"))
+    tried = (turns if models is None else models).select("model").distinct().select("model", F.posexplode(candidates(F.col("model"))).alias("rank", "model_key"))
     found = tried.join(prices, "model_key").groupBy("model").agg(F.min_by(F.struct(*RATES), F.struct("tier", "rank")).alias("price"))
     return turns.join(found, "model", "left")
 
@@ -66,5 +67,5 @@ def cost_columns(turns: DataFrame, mode: str = "auto") -> DataFrame:
     return out.withColumn("cost", cost).withColumn("priced", F.col("__logged") | F.col("__computed")).drop("__total", "__logged", "__computed", "price")
 
 
-def price_turns(turns: DataFrame, prices: DataFrame, mode: str = "auto") -> DataFrame:
-    return cost_columns(match_prices(turns, prices), mode)
+def price_turns(turns: DataFrame, prices: DataFrame, mode: str = "auto", models: DataFrame | None = None) -> DataFrame:
+    return cost_columns(match_prices(turns, prices, models), mode)

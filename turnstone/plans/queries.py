@@ -83,7 +83,7 @@ def _deduped(spark, d):
 
 
 def _priced_turns(spark, d):
-    return pricing.price_turns(_deduped(spark, d), m.prices(spark, d))
+    return pricing.price_turns(_deduped(spark, d), m.prices(spark, d), models=m.models(spark, d))
 
 
 _PRICED = f"WITH {m.TURNS}, {_DEDUP}, {m.PRICES}, {_priced('deduped')}"
@@ -154,9 +154,12 @@ def c1_price_turns(spark, d):
 @_query(f"""{_PRICED} SELECT mode, model, round(sum(CASE mode WHEN 'display' THEN coalesce(logged_cost, 0) WHEN 'auto' THEN cost END), 6) AS cost, count(*) FILTER (CASE mode WHEN 'display' THEN logged_cost IS NOT NULL ELSE priced END) AS priced_turns
     FROM priced, (VALUES ('display'), ('auto')) v(mode) GROUP BY ALL""")
 def c7_modes(spark, d):
-    turns, prices = _deduped(spark, d), m.prices(spark, d)
-    sums = lambda mode: pricing.price_turns(turns, prices, mode).groupBy("model").agg(F.round(F.sum("cost"), 6).alias("cost"), F.count_if("priced").alias("priced_turns")).withColumn("mode", F.lit(mode))
-    return sums("display").unionByName(sums("auto"))
+    # both modes of a turn side by side: the turns are computed once
+    matched = pricing.match_prices(_deduped(spark, d), m.prices(spark, d), m.models(spark, d)).withColumn("rates", F.col("price"))
+    shown = pricing.cost_columns(matched, "display").withColumnsRenamed({"cost": "display_cost", "priced": "display_priced", "rates": "price"})
+    sums = lambda mode, cost, priced: F.struct(F.round(F.sum(cost), 6).alias("cost"), F.count_if(F.col(priced)).alias("priced_turns"), F.lit(mode).alias("mode"))
+    both = pricing.cost_columns(shown, "auto").groupBy("model").agg(sums("display", "display_cost", "display_priced").alias("a"), sums("auto", "cost", "priced").alias("b"))
+    return both.select("model", F.inline(F.array("a", "b")))
 
 
 @_query(f"""WITH {m.TURNS}, {m.PRICES}, {_priced("raw_turns")} SELECT DISTINCT model, found, CASE WHEN found THEN (SELECT b.model_key FROM best b WHERE b.model = p.model AND b.rn = 1) END AS model_key FROM (SELECT DISTINCT model, found FROM parts) p""")
