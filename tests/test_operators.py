@@ -90,7 +90,7 @@ def test_j8_walks_in_one_written_table_and_doubles_what_is_large(spark, monkeypa
     assert len(written) > 5 and sorted(both) == sorted(once)
 
 
-@pytest.mark.parametrize("name", ["c7_modes"])
+@pytest.mark.parametrize("name", ["c7_modes", "a5_merged_by_model", "a6_subagent_rollup"])
 def test_priced_turns_are_computed_once(spark, name):
     plan = QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
     assert sum("Relation [l_orderkey" in line for line in plan.splitlines()) == 1

@@ -200,13 +200,13 @@ def a4_by_server(spark, d):
 _FAMILY_PRICED = f"WITH {m.FAMILY}, {m.PRICES}, {_priced('family_turns')}, r AS (SELECT *, {_ELIGIBLE} AND row_number() OVER (PARTITION BY family_id, message_id, {_ELIGIBLE} ORDER BY member_ordinal, turn_index) > 1 AS again FROM priced)"
 
 
-def _family_priced(spark, d):
-    return pricing.price_turns(m.family_turns(spark, d), m.prices(spark, d))
+def _family_priced(spark, d, turns=None):
+    return pricing.price_turns(m.family_turns(spark, d) if turns is None else turns, m.prices(spark, d), models=m.models(spark, d))
 
 
 @_query(f"{_FAMILY_PRICED} SELECT model, count(*) AS turns, {_SUMS} FROM r WHERE NOT again GROUP BY model")
 def a5_merged_by_model(spark, d):
-    return _rounded(at.by_model(dedup.drop_family_replays(_family_priced(spark, d))))
+    return _rounded(at.by_model(_family_priced(spark, d, dedup.drop_family_replays(m.family_turns(spark, d)))))
 
 
 @_query(f"""{_FAMILY_PRICED}, z AS (SELECT family_id, member_ordinal, CASE WHEN again THEN 0 ELSE context_total + output END AS t, CASE WHEN again THEN 0 ELSE cost END AS cost, priced OR again AS priced FROM r)
